@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing, packing
 
 
 def queries() -> dict:
-    return {"op8_line_dedup": line_dedup.op8_line_dedup}
+    return {
+        "op5_packing": packing.op5_packing,
+        "op7_mixing": mixing.op7_mixing,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
