@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from .common import SPACE, free_name, materialize, replace_columns, table
 
 #: Bits of the hash that one level of histograms resolves, and the levels there are.
-LEVEL_BITS, LEVELS = 10, 6
+LEVEL_BITS, LEVELS = 6, 10
 #: A boundary bucket of so many hash values at most is settled value by value.
-SETTLE = 64
+SETTLE = 512
 #: The table of sources is broadcast up to so many rows; beyond it sources are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -29,7 +29,7 @@ def _key(source: Column) -> Column:
 
 def _rank(h: Column, level: int) -> Column:
     """The leading bits of the hash, as a number that is not negative."""
-    return F.shiftrightunsigned(h, 64 - LEVEL_BITS * level)
+    return F.shiftrightunsigned(h, 64 - LEVEL_BITS * level) if level else F.lit(0).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -64,8 +64,8 @@ def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     """
     state = materialize(source_targets(units, weights, share, cap).withColumns({"base": F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)}).withColumns({"gap": F.col("target") - F.col("base") * F.col("source_size"), "level": F.lit(0), "bound": F.lit(0).cast("long"), "n": F.lit(None).cast("long")}), "mix-targets")
     n = state.count()
-    level = 0
-    while True:
+    level, most = 0, units.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    while most > SETTLE and level < LEVELS:
         level += 1
         inside = _with_plan(units, state.select("k", "bound"), n).where(_rank(F.col("h"), level - 1) == F.col("bound")) if level > 1 else units
         hist = inside.groupBy("k", _rank(F.col("h"), level).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
@@ -77,8 +77,6 @@ def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
         past = F.shiftleft(F.col("bound") + 1, LEVEL_BITS)
         state = materialize(old.join(first, "k", "left").select("k", "source_size", "target", "base", F.coalesce("x.left", F.lit(0.0)).alias("gap"), F.coalesce("x.b", past).alias("bound"), F.coalesce("x.n", F.lit(0)).alias("n")), f"mix-level{level}")
         most = state.agg(F.max("n")).first()[0] or 0
-        if most <= SETTLE or level == LEVELS:
-            break
     inside = _with_plan(units, state.select("k", "bound"), n).where(_rank(F.col("h"), level) == F.col("bound"))
     values = inside.groupBy("k", "h").agg(F.sum("size").alias("size")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("h", "size"))).alias("values"))
     plan = state.join(values, "k", "left")
@@ -91,7 +89,7 @@ def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
 
 
 def _copies(h: Column, level: int) -> Column:
-    rank = F.shiftrightunsigned(h, 64 - LEVEL_BITS * level)
+    rank = _rank(h, level)
     more = (rank < F.col("bound")) | ((rank == F.col("bound")) & F.array_contains("own", h))
     return F.col("base") + F.when(more, 1).otherwise(0)
 
@@ -107,11 +105,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k, h = (free_name(docs, f"mix_{x}") for x in ("k", "h"))
     units = docs.select(_key(F.col(f"`{source_col}`")).alias("k"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"))
     plan, n = mixing_plan(materialize(units, "mix-units"), weights, share, cap)
-    level = (plan.select("level").first() or [1])[0]
+    level = (plan.select("level").first() or [0])[0]
     small = plan.select(F.col("k").alias(k), "base", "bound", "own")
     names = {c: free_name(docs, f"mix_{c}") for c in ("base", "bound", "own")}
     small = small.withColumnsRenamed(names)
-    rank = F.shiftrightunsigned(F.col(h), 64 - LEVEL_BITS * level)
+    rank = _rank(F.col(h), level)
     more = (rank < F.col(names["bound"])) | ((rank == F.col(names["bound"])) & F.array_contains(names["own"], F.col(h)))
     joined = docs.withColumns({k: _key(F.col(f"`{source_col}`")), h: F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))}).join(F.broadcast(small) if n <= BROADCAST_SOURCES else small, k)
     return joined.withColumn("copies", F.col(names["base"]) + F.when(more, 1).otherwise(0)).drop(k, h, *names.values())
@@ -121,7 +119,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, size, source_size, target, taken) of every row; the texts are read once."""
     units = materialize(docs.select(F.col(f"`{id_col}`").alias(id_col), _key(F.col(f"`{source_col}`")).alias("k"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h")), "mix-units")
     plan, n = mixing_plan(units.select("k", "size", "h"), weights, share, cap)
-    level = (plan.select("level").first() or [1])[0]
+    level = (plan.select("level").first() or [0])[0]
     return _with_plan(units, plan.drop("level"), n).select(id_col, "size", "source_size", "target", (F.col("size") * _copies(F.col("h"), level)).cast("long").alias("taken"))
 
 

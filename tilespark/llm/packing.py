@@ -165,6 +165,22 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _merger(limit: int, turn: int, last: bool, keep_ids: bool, names: list[str]):
+    """Packs the leftovers of FAN_IN partitions anew; the last one empties its windows."""
+
+    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        packer = Packer(limit, (turn << 56) | (int(key[0]) << 28), keep_ids)
+        pdf = pdf.sort_values(["at", "open", "start"], kind="stable")
+        ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
+        for doc_id, start, own, total in zip(ids, pdf["start"], pdf["ids"], pdf["doc_tokens"]):
+            packer.add(doc_id, int(start), bytes(own), int(total))
+        if last:
+            packer.finish()
+        return pd.DataFrame(packer.flush() + packer.leftovers(int(key[0])), columns=names, dtype=object)
+
+    return merge
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of at most `limit` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
@@ -206,18 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: int = 409
         turn += 1
         last = most < FAN_IN
 
-        def merge(key, pdf: pd.DataFrame, turn=turn, last=last) -> pd.DataFrame:
-            packer = Packer(limit, (turn << 56) | (int(key[0]) << 28), keep_ids)
-            pdf = pdf.sort_values(["at", "open", "start"], kind="stable")
-            ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
-            for doc_id, start, own, total in zip(ids, pdf["start"], pdf["ids"], pdf["doc_tokens"]):
-                packer.add(doc_id, int(start), bytes(own), int(total))
-            if last:
-                packer.finish()
-            frame = pd.DataFrame(packer.flush() + packer.leftovers(int(key[0])), columns=[f.name for f in schema], dtype=object)
-            return frame
-
-        merged = materialize(rest.groupBy(F.expr(f"at div {FAN_IN}").alias("g")).applyInPandas(merge, schema), "pack-merge")
+        merged = materialize(rest.groupBy(F.expr(f"at div {FAN_IN}").alias("g")).applyInPandas(_merger(limit, turn, last, keep_ids, schema.names), schema), "pack-merge")
         done.append(merged.where("at is null"))
         rest = merged.where("at is not null")
         most = None if last else rest.agg(F.max("at")).first()[0]
