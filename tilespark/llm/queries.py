@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing
+from . import line_dedup, mixing, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_quality_compression": quality.op1_quality_compression,
         "op5_packing": packing.op5_packing,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
