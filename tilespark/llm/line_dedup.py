@@ -183,7 +183,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return {"kept_text": pa.array(kept, pa.string()), "n_lines": n_lines, "n_dropped": n_dropped}
 
     added = [T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    return add_columns(with_keys.join(gone, [i, t], "left"), cut, added, drop=(i, t, at))
+    return add_columns(with_keys.join(gone.hint("merge"), [i, t], "left"), cut, added, drop=(i, t, at))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
