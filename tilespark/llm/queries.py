@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality
+from . import line_dedup, mixing, outliers, packing, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality_compression": quality.op1_quality_compression,
+        "op3_robust_outliers": outliers.op3_robust_outliers,
         "op5_packing": packing.op5_packing,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
