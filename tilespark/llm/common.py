@@ -179,20 +179,47 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, f"{tag}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{tag}-labels")
-    if labels.isEmpty():
-        return labels.select("node", F.col("label").alias("component"))
-    while True:
-        # least label among the neighbours
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        # what a node learns is also told to the node that its label names (large-to-small hooking)
-        near = materialize(seen.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("least")), f"{tag}-near")
-        told = near.join(labels, "node").select(F.col("label").alias("node"), F.col("least").alias("label"))
-        merged = materialize(near.select("node", F.col("least").alias("label")).union(told).groupBy("node").agg(F.min("label").alias("label")), f"{tag}-told")
-        # pointer jump
-        jump = merged.join(merged.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = materialize(jump, f"{tag}-labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
-        labels = new
-        if changed:
-            return labels.select("node", F.col("label").alias("component"))
+    least = F.least("node", "m")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", least.alias("label"), F.col("node").alias("old")), f"{tag}-labels")
+    while not labels.where("label <> old").isEmpty():
+        now = labels.select("node", "label")
+        seen = both.join(now.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        near = seen.union(now).groupBy("node").agg(F.min("label").alias("least"))
+        # what a node sees is also told to the node that its label names
+        told = near.join(now, "node").select(F.col("label").alias("node"), F.col("least").alias("label"))
+        merged = materialize(near.select("node", F.col("least").alias("label")).union(told).groupBy("node").agg(F.min("label").alias("label")), f"{tag}-merged")
+        up = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = merged.join(up, "label").select("node", F.least("label", "up").alias("label")).join(now.select("node", F.col("label").alias("old")), "node")
+        labels = materialize(new, f"{tag}-labels")
+    return labels.select("node", F.col("label").alias("component"))
+
+
+# ---------------------------------------------------------------- word shingles
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def shingle_sets(column: pa.Array, size: int, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Sorted sets of the hashed word shingles of texts, piece by piece: (first row, row after the last, values, first value of each row and the end).
+
+    A text of fewer words has its whole sequence as one shingle, one without words has none.
+    """
+    for row, end, data, ends in text_steps(column):
+        h, first = words_of(lower_ascii(data) if lower else data, ends)
+        n = np.diff(first)
+        parts, counts = [], np.zeros(end - row, np.int64)
+        with np.errstate(over="ignore"):
+            full = h
+            for j in range(1, size):
+                full = mix(full[:-1] * _STEP + h[j:]) if len(full) > 1 else full[:0]
+            for i in np.flatnonzero(n):
+                a, words = int(first[i]), int(n[i])
+                if words >= size:
+                    own = np.unique(full[a : a + words - size + 1])
+                else:
+                    one = h[a : a + 1]
+                    for j in range(1, words):
+                        one = mix(one * _STEP + h[a + j : a + j + 1])
+                    own = mix(one + np.uint64(words))
+                parts.append(own)
+                counts[i] = len(own)
+        yield row, end, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])

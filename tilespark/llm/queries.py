@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, outliers, packing, quality
+from . import line_dedup, mixing, near_dedup, outliers, packing, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
