@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, outliers, packing, quality
+from . import embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, quality
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_quality_compression": quality.op1_quality_compression,
         "op3_robust_outliers": outliers.op3_robust_outliers,
         "op5_packing": packing.op5_packing,
+        "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_html_extract": html_extract.op9_html_extract,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.SQL}
+    return {"op6_embedding_dedup": embedding_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
