@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, quality
+from . import embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, quality, recompression
 
 
 def queries() -> dict:
     return {
         "op1_quality_compression": quality.op1_quality_compression,
         "op3_robust_outliers": outliers.op3_robust_outliers,
+        "op4_recompression": recompression.op4_recompression,
         "op5_packing": packing.op5_packing,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_mixing": mixing.op7_mixing,
