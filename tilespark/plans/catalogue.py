@@ -1,6 +1,505 @@
-"""Registered queries of the block-transform engine, each with its SQL."""
+"""Registered queries of the block-transform engine, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.constants import CHROMA, COLOUR, LUMA, ZIGZAG
+from ..functions.scalars import bits_needed
+from ..operators import bits, blocks, huffman, pixels, segments, text, tokens
+from ..sources import ppm, synthetic
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with its SQL."""
+
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _four(c, places: int = 4):
+    return F.round(c, places) + F.lit(0.0)
+
+
+# ---------------------------------------------------------------- images
+P3 = {
+    1: "P3 # a comment\n3 2 255\n1 2 3 4 5 6 7 8 9\n10 11 12 13 14 15 256 300 -1\n99",
+    2: "P3\n# one\n# two\n2 # wide\n1\n65535\n0 0 0\n255 128 7",
+}
+
+
+def _sql_pixels(h: int, w: int) -> str:
+    return f"SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((x + 8 * y) % 256 AS DOUBLE) AS c1, CAST((3 * x + y) % 256 AS DOUBLE) AS c2, CAST((x * y) % 256 AS DOUBLE) AS c3 FROM range({h}) a(y), range({w}) b(x)"
+
+
+def _sql_ycc(h: int, w: int) -> str:
+    row = lambda k, shift: " + ".join(f"({c}) * c{i + 1}" for i, c in enumerate(COLOUR[k])) + f" + {shift}"
+    return f"SELECT y, x, {row(0, -128)} AS c1, {row(1, 0)} AS c2, {row(2, 0)} AS c3 FROM ({_sql_pixels(h, w)})"
+
+
+_P3_SQL = " UNION ALL ".join(f"SELECT {i} AS image_id, '{t}' AS text" for i, t in P3.items())
+_HEADER = r"^\s*P3\s+(?:#[^\n]*\n\s*)*([+-]?\d+)[^\s#]*\s+(?:#[^\n]*\n\s*)*([+-]?\d+)[^\s#]*\s+(?:#[^\n]*\n\s*)*([+-]?\d+)[^\s#]*\s"
+
+
+@query(
+    "ppm_parse",
+    rf"""
+WITH t AS ({_P3_SQL}),
+h AS (SELECT image_id, CAST(regexp_extract(text, '{_HEADER}', 1) AS INT) AS w, CAST(regexp_extract(text, '{_HEADER}', 2) AS INT) AS h,
+        regexp_split_to_array(trim(regexp_replace(text, '{_HEADER}', '')), '\s+') AS v FROM t),
+p AS (SELECT image_id, w, v, unnest(range(w * h)) AS p FROM h)
+SELECT CAST(image_id AS BIGINT) AS image_id, CAST(p // w AS INT) AS y, CAST(p % w AS INT) AS x, CAST(v[3 * p + 1] AS INT) & 255 AS r, CAST(v[3 * p + 2] AS INT) & 255 AS g, CAST(v[3 * p + 3] AS INT) & 255 AS b FROM p
+""",
+)
+def ppm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.parse_text_images(spark.createDataFrame(list(P3.items()), "image_id bigint, text string"))
+
+
+@query("ppm_headers", rf"SELECT CAST(image_id AS BIGINT) AS image_id, CAST(regexp_extract(text, '{_HEADER}', 1) AS INT) AS width, CAST(regexp_extract(text, '{_HEADER}', 2) AS INT) AS height, 1 AS sx, 1 AS sy, CAST(regexp_extract(text, '{_HEADER}', 3) AS INT) AS max_val, false AS is_sampled FROM ({_P3_SQL})")
+def ppm_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.image_headers(spark.createDataFrame(list(P3.items()), "image_id bigint, text string"))
+
+
+@query("gradient_image", "SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((x + 8 * y) % 256 AS INT) AS m FROM range(216) a(y), range(384) b(x)")
+def gradient_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.gradient_image(spark, 216, 384)
+
+
+@query(
+    "gradient_lines",
+    """
+SELECT CAST(y AS INT) AS y, string_agg(m || ' ' || m || ' ' || m, ' ' ORDER BY x) AS line FROM (SELECT y, x, (x + 8 * y) % 256 AS m FROM range(12) a(y), range(20) b(x)) GROUP BY y
+UNION ALL SELECT * FROM (VALUES (-3, 'P3'), (-2, '20 12'), (-1, '255'))
+""",
+)
+def gradient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.p3_text(synthetic.gradient_image(spark, 12, 20), 12, 20)
+
+
+@query(
+    "symbol_runs",
+    """
+WITH r AS (SELECT id, (id * 1103515245 + 20264) % 2147483648 AS a, (id * 1103515245 + 59859) % 2147483648 AS b FROM range(3000) t(id)),
+s AS (SELECT id, CAST(a // 65536 % 11 + 5 AS INT) AS symbol, b // 65536 % 6 + 2 AS n FROM r),
+o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+SELECT CAST(start + k AS BIGINT) AS seq, symbol FROM (SELECT *, unnest(range(n)) AS k FROM o) WHERE start + k < 6000
+""",
+)
+def symbol_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.symbol_runs(spark, 2000, 5, 15, 2, 7, 6000)
+
+
+@query("empty_image", "SELECT CAST(0 AS BIGINT) AS image_id, 7 AS width, 5 AS height, 1 AS sx, 1 AS sy, 255 AS max_val, false AS is_sampled")
+def empty_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.empty_image(spark, 7, 5, 255)[1]
+
+
+@query("pad_edge", f"SELECT CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x, c1, c2, c3 FROM range(16) a(y), range(32) b(x), ({_sql_pixels(12, 20)}) s WHERE s.y = least(a.y, 11) AND s.x = least(b.x, 19)")
+def pad_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.pad_edge(synthetic.colour_image(spark, 12, 20), 20, 12, 16, 8).drop("image_id")
+
+
+@query("ycbcr", f"SELECT y, x, round(c1, 4) + 0.0 AS cy, round(c2, 4) + 0.0 AS cb, round(c3, 4) + 0.0 AS cr FROM ({_sql_ycc(64, 96)})")
+def ycbcr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.rgb_to_ycbcr(synthetic.colour_image(spark, 64, 96)).select("y", "x", _four(F.col("c1")).alias("cy"), _four(F.col("c2")).alias("cb"), _four(F.col("c3")).alias("cr"))
+
+
+@query("ycbcr_normalized", f"SELECT y, x, round(c1 / 255.0, 4) + 0.0 AS cy, round(c2 / 255.0, 4) + 0.0 AS cb, round(c3 / 255.0, 4) + 0.0 AS cr FROM ({_sql_ycc(64, 96)})")
+def ycbcr_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.rgb_to_ycbcr(synthetic.colour_image(spark, 64, 96), 255).select("y", "x", _four(F.col("c1")).alias("cy"), _four(F.col("c2")).alias("cb"), _four(F.col("c3")).alias("cr"))
+
+
+_AVERAGE = "SELECT CAST(y // 2 AS INT) AS cy_, CAST(x // 2 AS INT) AS cx_, avg(c2) AS c2, avg(c3) AS c3 FROM ({}) GROUP BY 1, 2"
+
+
+@query("chroma_avg", f"SELECT cy_, cx_, round(c2, 6) + 0.0 AS cb, round(c3, 6) + 0.0 AS cr FROM ({_AVERAGE.format(_sql_ycc(64, 96))})")
+def chroma_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = pixels.subsample_average(pixels.rgb_to_ycbcr(synthetic.colour_image(spark, 64, 96)), 2, 2)
+    return small.select(F.col("cy").alias("cy_"), F.col("cx").alias("cx_"), _four(F.col("c2"), 6).alias("cb"), _four(F.col("c3"), 6).alias("cr"))
+
+
+@query("chroma_stride", f"SELECT CAST(y // 2 AS INT) AS cy_, CAST(x // 4 AS INT) AS cx_, c2 AS v FROM ({_sql_pixels(64, 96)}) WHERE y % 2 = 0 AND x % 4 = 0")
+def chroma_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.subsample_stride(synthetic.colour_image(spark, 64, 96), "c2", 4, 2).select(F.col("cy").alias("cy_"), F.col("cx").alias("cx_"), "v")
+
+
+@query("chroma_upsample", f"SELECT l.y, l.x, l.c1, s.c2, s.c3 FROM ({_sql_pixels(32, 48)}) l JOIN ({_AVERAGE.format(_sql_pixels(32, 48))}) s ON l.y // 2 = s.cy_ AND l.x // 2 = s.cx_")
+def chroma_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = synthetic.colour_image(spark, 32, 48)
+    return pixels.upsample_nearest(full.drop("c2", "c3"), pixels.subsample_average(full, 2, 2), 2, 2).drop("image_id")
+
+
+@query("pixel_writes", f"SELECT y, x, CASE WHEN x % 5 = 0 THEN 7.0 ELSE c1 END AS c1, CASE WHEN x % 5 = 0 THEN 1.0 ELSE c2 END AS c2, CASE WHEN x % 5 = 0 THEN 2.0 ELSE c3 END AS c3 FROM ({_sql_pixels(10, 10)})")
+def pixel_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = synthetic.colour_image(spark, 10, 10)
+    first = full.where("x % 5 = 0").select("image_id", "y", "x", F.lit(3.0).alias("c1"), F.lit(1.0).alias("c2"), F.lit(9.0).alias("c3"), F.lit(1).alias("seq"))
+    last = first.select("image_id", "y", "x", F.lit(7.0).alias("c1"), F.lit(1.0).alias("c2"), F.lit(2.0).alias("c3"), F.lit(2).alias("seq"))
+    return pixels.replace_pixels(full, first.unionByName(last)).drop("image_id")
+
+
+@query("planes_unpivot", f"SELECT comp, y, x, v FROM (SELECT 0 AS comp, y, x, c1 AS v FROM ({_sql_pixels(32, 48)}) UNION ALL SELECT 1, y, x, c2 FROM ({_sql_pixels(32, 48)}) UNION ALL SELECT 2, y, x, c3 FROM ({_sql_pixels(32, 48)}))")
+def planes_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.unpivot_planes(synthetic.colour_image(spark, 32, 48)).drop("image_id")
+
+
+# ---------------------------------------------------------------- blocks: every embedding is one 8x8 block
+_LIST = lambda v: "[" + ", ".join(map(str, v)) + "]"
+_E = "e AS (SELECT vec_id, CAST(v AS DOUBLE) * 1024 AS v, p FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"
+_BASIS = "basis AS (SELECT k, n, sqrt(CASE WHEN k = 0 THEN 0.5 ELSE 1.0 END / 4) * cos((2 * n + 1) * k * pi() / 16) AS w FROM range(8) a(k), range(8) b(n))"
+_F = f"{_E}, {_BASIS}, r AS (SELECT vec_id, p // 8 AS y, k AS j, sum(v * w) AS v FROM e JOIN basis ON p % 8 = n GROUP BY ALL), f AS (SELECT vec_id, CAST(k AS INT) AS i, CAST(j AS INT) AS j, sum(v * w) AS f FROM r JOIN basis ON y = n GROUP BY ALL)"
+_Q = f"{_F}, q AS (SELECT vec_id, i, j, CAST(round(round(f, 6) / {_LIST(LUMA)}[8 * i + j + 1]) AS INT) AS q FROM f)"
+_Z = f"{_Q}, z AS (SELECT vec_id, CAST(list_position({_LIST(ZIGZAG)}, 8 * i + j) - 1 AS INT) AS pos, q FROM q)"
+_DC = f"{_Z}, d AS (SELECT vec_id, q AS dc, q - lag(q, 1, 0) OVER (ORDER BY vec_id) AS diff FROM z WHERE pos = 0)"
+_RLE = f"""{_Z}, nz AS (SELECT vec_id, pos, q, pos - coalesce(lag(pos) OVER (PARTITION BY vec_id ORDER BY pos), 0) - 1 AS run FROM z WHERE pos > 0 AND q <> 0),
+t AS (SELECT vec_id, pos, k, CASE WHEN k < run // 16 THEN 15 ELSE run % 16 END AS run, CASE WHEN k < run // 16 THEN 0 ELSE q END AS value FROM (SELECT *, unnest(range(run // 16 + 1)) AS k FROM nz)
+      UNION ALL SELECT vec_id, 64, 0, 0, 0 FROM (SELECT vec_id, max(pos) FILTER (WHERE q <> 0 AND pos > 0) AS m FROM z GROUP BY vec_id) WHERE coalesce(m, 0) < 63),
+rle AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY pos, k) AS INT) AS tok_seq, CAST(run AS INT) AS run, value FROM t)"""
+_CAT = "CASE WHEN {0} = 0 THEN 0 ELSE length(bin(abs({0}))) END"
+_BITS = "CASE WHEN {0} >= 0 THEN {0} ELSE {0} + (1 << length(bin(abs({0})))) - 1 END"
+
+
+def _embedding_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.value_images(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 1024.0)
+
+
+def _zigzagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.zigzag(blocks.quantize(blocks.dct8(_embedding_blocks(spark, sf_dir))))
+
+
+def _cells(df: DataFrame, value, name: str) -> DataFrame:
+    out = df.select(F.col("scan").alias("vec_id"), F.posexplode("block").alias("p", "v"))
+    return out.select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("i"), (F.col("p") % 8).cast("int").alias("j"), value(F.col("v")).alias(name))
+
+
+@query("block_dct", f"WITH {_F} SELECT vec_id, i, j, round(f, 4) + 0.0 AS f FROM f")
+def block_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(blocks.dct8(_embedding_blocks(spark, sf_dir)), _four, "f")
+
+
+@query("block_dct_by_join", f"WITH {_F} SELECT vec_id, i, j, round(f, 4) + 0.0 AS f FROM f")
+def block_dct_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _embedding_blocks(spark, sf_dir).select(F.col("scan").alias("vec_id"), F.posexplode("block").alias("p", "v")).select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), "v")
+    return blocks.dct8_by_join(cells, ["vec_id"]).select("vec_id", "i", "j", _four(F.col("f")).alias("f"))
+
+
+@query("block_idct_roundtrip", "SELECT vec_id, 0.0::DOUBLE AS max_err FROM embeddings")
+def block_idct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = _embedding_blocks(spark, sf_dir).withColumn("was", F.col("block"))
+    back = blocks.idct8(blocks.dct8(start))
+    return back.select(F.col("scan").alias("vec_id"), _four(F.array_max(F.zip_with("block", "was", lambda a, b: F.abs(a - b))), 3).alias("max_err"))
+
+
+@query("block_quantize", f"WITH {_Q} SELECT * FROM q")
+def block_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(blocks.quantize(blocks.dct8(_embedding_blocks(spark, sf_dir))), lambda v: v, "q")
+
+
+@query("block_quantize_chroma", f"WITH {_F} SELECT vec_id, i, j, CAST(round(round(f, 6) / {_LIST(CHROMA)}[8 * i + j + 1]) AS INT) AS q FROM f")
+def block_quantize_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(blocks.quantize(blocks.dct8(_embedding_blocks(spark, sf_dir)), chroma=F.lit(True)), lambda v: v, "q")
+
+
+@query("block_zigzag", f"WITH {_Z} SELECT * FROM z")
+def block_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzagged(spark, sf_dir).select(F.col("scan").alias("vec_id"), F.posexplode("zz").alias("pos", "q"))
+
+
+@query("image_blocks", f"SELECT CAST(y // 8 AS INT) AS block_row, CAST(x // 8 AS INT) AS block_col, comp, sum(v * (1 + (y % 8) * 8 + x % 8)) AS weighted FROM (SELECT 0 AS comp, y, x, c1 AS v FROM ({_sql_pixels(32, 48)}) UNION ALL SELECT 1, y, x, c2 FROM ({_sql_pixels(32, 48)}) UNION ALL SELECT 2, y, x, c3 FROM ({_sql_pixels(32, 48)})) GROUP BY ALL")
+def image_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pixels.to_blocks(pixels.unpivot_planes(synthetic.colour_image(spark, 32, 48)))
+    return made.select("block_row", "block_col", "comp", F.aggregate(F.transform("block", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v).alias("weighted"))
+
+
+@query("mcu_order", "SELECT CAST(r AS INT) AS block_row, CAST(c AS INT) AS block_col, r // 2 * 3 + c // 2 AS mcu, CAST(r % 2 * 2 + c % 2 AS INT) AS k FROM range(4) a(r), range(6) b(c)")
+def mcu_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pixels.to_blocks(pixels.unpivot_planes(synthetic.colour_image(spark, 32, 48)).where("comp = 0"))
+    return blocks.scan_order(made, F.lit(6), 2, 2).select("block_row", "block_col", "mcu", "k")
+
+
+@query("channel_stats", "SELECT comp, CASE WHEN comp = 0 THEN 24 ELSE 6 END::BIGINT AS n_blocks, CASE WHEN comp = 0 THEN 4 ELSE 2 END AS n_rows, CASE WHEN comp = 0 THEN 6 ELSE 3 END AS n_cols FROM (VALUES (0), (1), (2)) t(comp)")
+def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.channel_stats(segments.image_blocks(synthetic.colour_image(spark, 20, 36), 36, 20, 2, 2)).drop("image_id")
+
+
+# ---------------------------------------------------------------- tokens
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.dc_delta(_zigzagged(spark, sf_dir).select("image_id", F.col("scan").alias("vec_id"), F.get("zz", 0).alias("dc")), ["image_id"], "vec_id")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.ac_runs(_zigzagged(spark, sf_dir).select("image_id", F.col("scan").alias("vec_id"), "zz"))
+
+
+@query("dc_delta", f"WITH {_DC} SELECT * FROM d")
+def dc_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deltas(spark, sf_dir).select("vec_id", "dc", "diff")
+
+
+@query("dc_categories", f"WITH {_DC} SELECT vec_id, CAST({_CAT.format('diff')} AS INT) AS category, CAST({_BITS.format('diff')} AS BIGINT) AS bits FROM d")
+def dc_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.dc_symbols(_deltas(spark, sf_dir)).select("vec_id", "category", "bits")
+
+
+@query("ac_rle", f"WITH {_RLE} SELECT * FROM rle")
+def ac_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select("vec_id", "tok_seq", "run", "value")
+
+
+_SYMBOLS = f"SELECT vec_id, tok_seq, CAST(run * 16 + {_CAT.format('value')} AS INT) AS symbol, CAST({_BITS.format('value')} AS BIGINT) AS bits, CAST({_CAT.format('value')} AS INT) AS nbits FROM rle"
+
+
+@query("ac_symbols", f"WITH {_RLE} {_SYMBOLS}")
+def ac_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.ac_symbols(_runs(spark, sf_dir)).select("vec_id", "tok_seq", "symbol", "bits", "nbits")
+
+
+@query("freq_ac", f"WITH {_RLE} SELECT symbol, count(*) AS freq FROM ({_SYMBOLS}) GROUP BY symbol")
+def freq_ac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.symbol_frequencies(tokens.ac_symbols(_runs(spark, sf_dir)), [])
+
+
+@query("freq_dc", f"WITH {_DC} SELECT CAST({_CAT.format('diff')} AS INT) AS symbol, count(*) AS freq FROM d GROUP BY 1")
+def freq_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.symbol_frequencies(tokens.dc_symbols(_deltas(spark, sf_dir)), [])
+
+
+# ---------------------------------------------------------------- codes
+_V = "v AS (SELECT event_id, event_type, CAST(floor(value) AS BIGINT) & 255 AS symbol FROM events WHERE value IS NOT NULL)"
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", "event_type", "value").where("value IS NOT NULL")
+    return events.select("event_id", "event_type", F.floor("value").cast("long").bitwiseAND(255).cast("int").alias("symbol"))
+
+
+@query("freq_values", f"WITH {_V} SELECT CAST(symbol AS INT) AS symbol, count(*) AS freq FROM v GROUP BY 1")
+def freq_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.symbol_frequencies(_values(spark, sf_dir), [])
+
+
+@query("freq_every_second", f"WITH {_V} SELECT CAST(symbol AS INT) AS symbol, count(*) AS freq FROM v WHERE event_id % 2 = 0 GROUP BY 1")
+def freq_every_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.symbol_frequencies(_values(spark, sf_dir), [], step=2, position="event_id")
+
+
+_MERGE = "m(h, cost) AS (SELECT list_sort(list(n)), CAST(0 AS BIGINT) FROM f UNION ALL SELECT list_sort(list_append(h[3:], h[1] + h[2])), cost + h[1] + h[2] FROM m WHERE len(h) > 1) SELECT CAST(max(cost) AS BIGINT) AS cost FROM m"
+
+
+@query("huffman_cost", f"WITH RECURSIVE f AS (SELECT count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c), {_MERGE}")
+def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("symbol")).where("symbol <> ''")
+    return huffman.merge_cost(tokens.symbol_frequencies(chars, []).withColumn("k", F.lit(0)), ["k"]).select("cost")
+
+
+@query("huffman_code_cost", f"WITH RECURSIVE {_V}, f AS (SELECT count(*) AS n FROM v GROUP BY symbol), {_MERGE}")
+def huffman_code_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bits that the codes themselves take, before the last one is lengthened: ties don't change it."""
+    codes = huffman.huffman_codes(tokens.symbol_frequencies(_values(spark, sf_dir), []), [], spare_last=False)
+    return codes.agg(F.sum(F.col("freq") * F.col("len")).alias("cost"))
+
+
+@query("huffman_codes")
+def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.huffman_codes(tokens.symbol_frequencies(_values(spark, sf_dir), []), [])
+
+
+@query("huffman_codes_by_type")
+def huffman_codes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.huffman_codes(tokens.symbol_frequencies(_values(spark, sf_dir), ["event_type"]), ["event_type"])
+
+
+@query("depth_limited_lengths")
+def depth_limited_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies that double give the deepest tree."""
+    freqs = spark.range(24).select(F.col("id").cast("int").alias("symbol"), F.expr("shiftleft(1L, cast(id as int))").alias("freq"))
+    return huffman.huffman_codes(freqs, []).select("symbol", "len")
+
+
+_LENGTHS = {0: 2, 1: 2, 2: 3, 3: 3, 4: 3, 5: 4}
+_TABLE = "c AS (SELECT * FROM (VALUES (0, 2, 0), (1, 2, 1), (2, 3, 4), (3, 3, 5), (4, 3, 6), (5, 4, 14)) t(symbol, len, code))"
+
+
+def _fixed_lengths(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(_LENGTHS.items()), "symbol int, len int")
+
+
+@query("canonical_codes", f"WITH {_TABLE} SELECT symbol, len, CAST(code AS BIGINT) AS code FROM c")
+def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.canonical_codes(_fixed_lengths(spark), [])
+
+
+def _short_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, sf_dir).select(F.col("event_id").alias("seq"), (F.col("symbol") % 8).cast("int").alias("symbol"))
+
+
+@query("encode_values", f"WITH {_V}, {_TABLE} SELECT event_id AS seq, CAST(coalesce(code, 0) AS BIGINT) AS code, coalesce(len, 0) AS len FROM v LEFT JOIN c ON v.symbol % 8 = c.symbol")
+def encode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = huffman.encode_symbols(_short_values(spark, sf_dir), huffman.canonical_codes(_fixed_lengths(spark), []), [], strict=False, keep_missing=True)
+    return out.select("seq", F.col("hcode").alias("code"), F.col("hlen").alias("len"))
+
+
+@query("encode_values_skip", f"WITH {_V}, {_TABLE} SELECT event_id AS seq, CAST(code AS BIGINT) AS code, len FROM v JOIN c ON v.symbol % 8 = c.symbol")
+def encode_values_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = huffman.encode_symbols(_short_values(spark, sf_dir), huffman.canonical_codes(_fixed_lengths(spark), []), [], strict=False)
+    return out.select("seq", F.col("hcode").alias("code"), F.col("hlen").alias("len"))
+
+
+@query("encode_values_strict", f"WITH {_V}, {_TABLE} SELECT event_id AS seq, CAST(code AS BIGINT) AS code, len FROM v JOIN c ON v.symbol % 6 = c.symbol")
+def encode_values_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _values(spark, sf_dir).select(F.col("event_id").alias("seq"), (F.col("symbol") % 6).cast("int").alias("symbol"))
+    out = huffman.encode_symbols(known, huffman.canonical_codes(_fixed_lengths(spark), []), [])
+    return out.select("seq", F.col("hcode").alias("code"), F.col("hlen").alias("len"))
+
+
+@query("dht_counts", "SELECT CAST(n AS INT) AS len, CAST(CASE n WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 0 END AS BIGINT) AS n FROM range(1, 17) t(n)")
+def dht_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = spark.range(1, 17).select(F.col("id").cast("int").alias("len"))
+    return every.join(_fixed_lengths(spark), "len", "left").groupBy("len").agg(F.count("symbol").alias("n"))
+
+
+@query("dht_segment", "SELECT 'FFC4001900' || '00020301' || repeat('00', 12) || '000102030405' AS hex")
+def dht_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = huffman.canonical_codes(_fixed_lengths(spark), []).withColumns({"info": F.lit(0), "k": F.lit(0)})
+    return segments.code_segments(codes, ["k"]).select("hex")
+
+
+# ---------------------------------------------------------------- bits
+_S = "s AS (SELECT event_type, event_id, CAST(floor(value) AS BIGINT) & 1023 AS code, CAST(1 + event_id % 10 AS INT) AS len FROM events WHERE value IS NOT NULL)"
+_P = f"""{_S}, b AS (SELECT event_type, string_agg(lpad(bin(code & ((1 << len) - 1)), len, '0'), '' ORDER BY event_id) AS t FROM s GROUP BY 1),
+p AS (SELECT event_type, t || repeat('1', CAST((8 - length(t) % 8) % 8 AS INT)) AS t FROM b),
+o AS (SELECT event_type, byte_ix, substr(t, byte_ix * 8 + 1, 8) AS o FROM (SELECT event_type, t, unnest(range(length(t) // 8)) AS byte_ix FROM p)),
+y AS (SELECT event_type, byte_ix, CAST({" + ".join(f"{1 << (7 - i)} * CAST(o[{i + 1}] AS INT)" for i in range(8))} AS INT) AS v FROM o)"""
+
+
+def _bit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", "event_type", "value").where("value IS NOT NULL")
+    return events.select("event_type", "event_id", F.floor("value").cast("long").bitwiseAND(1023).alias("code"), (1 + F.col("event_id") % 10).cast("int").alias("len"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bits.pack_bits(_bit_tokens(spark, sf_dir), ["event_type"], "event_id")
+
+
+@query("bit_offsets", f"WITH {_S} SELECT event_type, event_id AS seq, CAST(sum(len) OVER (PARTITION BY event_type ORDER BY event_id) - len AS BIGINT) AS off FROM s")
+def bit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bits.running_offsets(_bit_tokens(spark, sf_dir), ["event_type"], "event_id", "len").select("event_type", F.col("event_id").alias("seq"), "off")
+
+
+@query("pack_bits", f"WITH {_P} SELECT * FROM y")
+def pack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+@query("stuff_bytes", f"WITH {_P} SELECT event_type, string_agg(printf('%02X', v) || CASE WHEN v = 255 THEN '00' ELSE '' END, '' ORDER BY byte_ix) AS hex FROM y GROUP BY 1")
+def stuff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bits.gather_bytes(_packed(spark, sf_dir), ["event_type"]).select("event_type", bits.stuff(F.col("hex")).alias("hex"))
+
+
+@query("bits_text", f"WITH {_P} SELECT event_type, t AS text FROM p")
+def bits_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bits.gather_bytes(_packed(spark, sf_dir), ["event_type"]).select("event_type", bits.bits_text(F.col("hex")).alias("text"))
+
+
+@query("read_bits", "SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INT) AS seq, CAST(floor(value) AS BIGINT) & 511 AS value FROM events WHERE value IS NOT NULL")
+def read_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of nine bits, packed and read again."""
+    nine = _bit_tokens(spark, sf_dir).withColumn("len", F.lit(9))
+    made = bits.gather_bytes(bits.pack_bits(nine, ["event_type"], "event_id"), ["event_type"])
+    return bits.read_bits(made.select("event_type", F.unhex("hex").alias("bytes")), ["event_type"], 9)
+
+
+@query("bit_cursor", "SELECT CAST(i AS INT) AS at, CAST('1011100101100111'[i + 1] AS INT) AS bit FROM range(16) t(i)")
+def bit_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = spark.range(20).select(F.unhex(F.lit("B967")).alias("bytes"), F.col("id").cast("int").alias("at"))
+    return at.where(bits.has_bits(F.col("bytes"), F.col("at"))).select("at", bits.read_bit(F.col("bytes"), F.col("at")).alias("bit"))
+
+
+# ---------------------------------------------------------------- files and text
+_DQT = " || ".join(f"'{i:02X}' || (SELECT string_agg(printf('%02X', {_LIST(t)}[{_LIST(ZIGZAG)}[p + 1] + 1]), '' ORDER BY p) FROM range(64) t(p))" for i, t in enumerate((LUMA, CHROMA)))
+
+
+@query(
+    "jpeg_headers",
+    f"SELECT * FROM (VALUES ('soi', 'FFD8'), ('app0', 'FFE000104A46494600010100000100010000'), ('sof0', 'FFC00011080010001003012200021101031101'), ('sos', 'FFDA000C03010002110311003F00'), ('eoi', 'FFD9')) t(segment, hex) UNION ALL SELECT 'dqt', 'FFDB0084' || {_DQT}",
+)
+def jpeg_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.header_segments(spark.createDataFrame([(0, 16, 16, 2, 2, 255, True)], synthetic.META))
+
+
+@query("token_stream")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = segments.image_blocks(synthetic.colour_image(spark, 72, 120), 120, 72, 2, 2)
+    return segments.token_stream(made, 2, 2)[0].select("image_id", "mcu", "comp_seq", "tok_seq", "table_id", "symbol", "hcode", "hlen", "vbits", "vlen", "is_eob")
+
+
+@query("encode_jpeg")
+def encode_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two images in one job, as different as their channels."""
+    one = synthetic.colour_image(spark, 72, 120)
+    two = one.select(F.lit(1).cast("long").alias("image_id"), "y", "x", F.col("c3").alias("c1"), "c2", F.col("c1").alias("c3"))
+    files = segments.encode_images(one.unionByName(two), 120, 72)
+    return files.select("image_id", F.floor(F.length("hex") / 2).cast("long").alias("n_bytes"), "hex")
+
+
+@query(
+    "compare_lines",
+    r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x, string_split(replace(text, ' of ', ' OF '), chr(10)) AS y FROM documents),
+l AS (SELECT doc_id, x, y, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i FROM t)
+SELECT d.doc_id, CAST(m.i AS INT) AS first_diff FROM documents d LEFT JOIN (SELECT doc_id, min(i) AS i FROM l WHERE x[i] IS DISTINCT FROM y[i] GROUP BY 1) m ON m.doc_id = d.doc_id
+""",
+)
+def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit(" of "), F.lit(" OF ")).alias("b"))
+    return text.first_difference(docs)
+
+
+@query("channel_dump", f"SELECT comp, y, string_agg(lpad(CAST(CAST(v AS INT) AS VARCHAR), 3, ' '), ' ' ORDER BY x) AS line FROM (SELECT 0 AS comp, y, x, c1 AS v FROM ({_sql_pixels(12, 20)}) UNION ALL SELECT 1, y, x, c2 FROM ({_sql_pixels(12, 20)}) UNION ALL SELECT 2, y, x, c3 FROM ({_sql_pixels(12, 20)})) GROUP BY ALL")
+def channel_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.dump_lines(pixels.unpivot_planes(synthetic.colour_image(spark, 12, 20)), 3).drop("image_id")
+
+
+@query("channel_dump_decimals", f"SELECT comp, y, string_agg(printf('%8.3f', v), ' ' ORDER BY x) AS line FROM (SELECT 0 AS comp, y, x, c1 / 4 AS v FROM ({_sql_pixels(12, 20)})) GROUP BY ALL")
+def channel_dump_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = pixels.unpivot_planes(synthetic.colour_image(spark, 12, 20)).where("comp = 0").withColumn("v", F.col("v") / 4)
+    return text.dump_lines(planes, 8, 3).drop("image_id")
+
+
+@query("channel_width", f"SELECT 0 AS comp, CAST(max(length(printf('%.2f', c1 - 128))) AS INT) AS width FROM ({_sql_pixels(12, 20)})")
+def channel_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = pixels.unpivot_planes(synthetic.colour_image(spark, 12, 20)).where("comp = 0").withColumn("v", F.col("v") - 128)
+    return text.channel_width(planes).drop("image_id")
+
+
+@query("image_dump", f"WITH r AS (SELECT comp, y, string_agg(lpad(CAST(CAST(v AS INT) AS VARCHAR), 3, ' '), ' ' ORDER BY x) AS line FROM (SELECT 0 AS comp, y, x, c1 AS v FROM ({_sql_pixels(3, 4)}) UNION ALL SELECT 1, y, x, c2 FROM ({_sql_pixels(3, 4)}) UNION ALL SELECT 2, y, x, c3 FROM ({_sql_pixels(3, 4)})) GROUP BY ALL) SELECT CAST(0 AS BIGINT) AS image_id, 'width 4 height 3 sx 1 sy 1 sampled false' || chr(10) || string_agg(line, chr(10) ORDER BY comp, y) AS text FROM r")
+def image_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.image_text(synthetic.empty_image(spark, 4, 3, 255)[1], pixels.unpivot_planes(synthetic.colour_image(spark, 3, 4)))
+
+
+@query("code_dump")
+def code_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.code_lines(huffman_codes(spark, sf_dir), [])
+
+
+@query("codes_by_length", "SELECT * FROM (VALUES (2, 2::BIGINT, '0 1'), (3, 3::BIGINT, '2 3 4'), (4, 1::BIGINT, '5')) t(len, n, symbols)")
+def codes_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.codes_by_length(huffman.canonical_codes(_fixed_lengths(spark), []), [])
+
+
+@query("bits_needed", "SELECT CAST(n AS INT) AS n, CAST(ceil(log2(n)) AS INT) AS bits FROM range(1, 1001) t(n)")
+def bits_needed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.range(1, 1001).select(F.col("id").cast("int").alias("n"))
+    return n.select("n", bits_needed(F.col("n")).alias("bits"))
