@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, quality, recompression
+from . import embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, pii, quality, recompression
 
 
 def queries() -> dict:
     return {
         "op1_quality_compression": quality.op1_quality_compression,
+        "op2_pii_surrogates": pii.op2_pii_surrogates,
         "op3_robust_outliers": outliers.op3_robust_outliers,
         "op4_recompression": recompression.op4_recompression,
         "op5_packing": packing.op5_packing,
