@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -23,16 +24,20 @@ TITLES = "Mr Mrs Ms Miss Mister Sir Lady Dr Prof Herr Frau Señor Señora Señor
 FEMALE = frozenset("mrs ms miss lady frau señora señorita sra madame mademoiselle mme mlle".split())
 ENTITY = regex.compile(
     r"(?P<email>(?<![\w.+-])[\w%+-]+(?:\.[\w%+-]+)*@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[opsur]_[A-Za-z0-9]{36}(?!\w)|(?<![\w/+])(?=[0-9a-f]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\w/+])"
-    r"|(?i:(?<=\b(?:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?))(?=[\w+/-]*\d)[\w+/-]{12,})"
+    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[opsur]_[A-Za-z0-9]{36}(?!\w)|(?<![\w/+])(?=[0-9a-f]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\w/+]))"
+    r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)(?P<keyed>(?=[\w+/-]*\d)[\w+/-]{12,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))"
     rf"|(?P<phone>(?<![\w+])\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?(?:{_GAP}\d{{2,4}}){{2,4}}(?!\d)|(?<!\w)\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.,-])\d(?:[\ -]?\d){12,18}(?![\d-]))"
-    rf"|(?P<person>(?<=\b(?:{'|'.join(TITLES)})\.?\ )\p{{Lu}}[\p{{L}}'-]+(?:\ \p{{Lu}}[\p{{L}}'-]+){{0,2}})",
+    rf"|\b(?:{'|'.join(TITLES)})\.?\ (?P<person>\p{{Lu}}[\p{{L}}'-]+(?:\ \p{{Lu}}[\p{{L}}'-]+){{0,2}})",
 )
 
+#: Every entity holds one of these; around them, and MARGIN further to the next blank, the texts are looked at closely.
+ANCHOR = re.compile(rf"[0-9@]|(?:{'|'.join(TITLES)})\.?\ ")
+MARGIN = 128
+
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxz"
 #: Alphabets of one script and kind; a letter is replaced within its own.
 _ALPHABETS = {"cyrillic": ("аеиоуя", "бвгдзклмнпрстх"), "greek": ("αειουω", "βγδζκλμνπρστφχ")}
@@ -176,17 +181,37 @@ def _write(kind: str, text: str, new: list[str]) -> str:
     return new[0]
 
 
+def _windows(text: str) -> list[tuple[int, int]]:
+    """Parts of a text in which entities can lie, from blank to blank."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    while m := ANCHOR.search(text, at):
+        a = text.rfind(" ", 0, max(0, m.start() - MARGIN)) + 1
+        end = m.end()
+        while (n := ANCHOR.search(text, end, end + MARGIN)) is not None:
+            end = n.end()
+        b = text.find(" ", end + MARGIN)
+        b = len(text) if b < 0 else b
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+        at = b
+    return out
+
+
 def entities(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a whole text."""
     out = []
-    for m in ENTITY.finditer(text or ""):
-        kind = m.lastgroup
-        digits = "".join(c for c in m[0] if c.isdigit())
-        if kind == "card" and not (_luhn(digits) or len(digits) == 16):
-            continue
-        if kind == "phone" and not 7 <= len(digits) <= 15:
-            continue
-        out.append((m.start(), m.end(), kind))
+    for a, b in _windows(text or ""):
+        for m in ENTITY.finditer(text, a, b):
+            kind, (start, end) = m.lastgroup, m.span(m.lastgroup)
+            digits = "".join(c for c in m[0] if c.isdigit()) if kind in ("card", "phone") else ""
+            if kind == "card" and not (_luhn(digits) or len(digits) == 16):
+                continue
+            if kind == "phone" and not 7 <= len(digits) <= 15:
+                continue
+            out.append((start, end, "secret" if kind == "keyed" else kind))
     return out
 
 
