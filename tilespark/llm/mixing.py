@@ -13,6 +13,8 @@ from .common import SPACE, free_name, materialize, replace_columns, table
 LEVEL_BITS, LEVELS = 6, 10
 #: A boundary bucket of so many hash values at most is settled value by value.
 SETTLE = 512
+#: Values that are kept back to fill what is left, and starts that are tried for that.
+SPARE, STARTS = 24, 12
 #: The table of sources is broadcast up to so many rows; beyond it sources are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -59,7 +61,7 @@ def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
 
     Each level sums words by source and hash bucket, takes the buckets that fit below the budget, and looks only at
     the bucket on the boundary again, by the next bits. The last bucket, of SETTLE hash values or fewer, is settled
-    value by value: in order of hash what still fits is taken, then the smallest one left if that comes nearer.
+    value by value: in order of hash up to the first that doesn't fit, then the largest that still fit.
     Nothing is sorted but those; the result depends on the hashes only, so reruns agree.
     """
     state = materialize(source_targets(units, weights, share, cap).withColumns({"base": F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)}).withColumns({"gap": F.col("target") - F.col("base") * F.col("source_size"), "level": F.lit(0), "bound": F.lit(0).cast("long"), "n": F.lit(None).cast("long")}), "mix-targets")
@@ -80,11 +82,21 @@ def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     inside = _with_plan(units, state.select("k", "bound"), n).where(_rank(F.col("h"), level) == F.col("bound"))
     values = inside.groupBy("k", "h").agg(F.sum("size").alias("size")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("h", "size"))).alias("values"))
     plan = state.join(values, "k", "left")
-    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("own"))
-    greedy = F.aggregate(F.coalesce("values", F.array().cast("array<struct<h:bigint,size:bigint>>")), start, lambda a, x: F.when(x.size <= a.left, F.struct((a.left - x.size).alias("left"), F.concat(a.own, F.array(x.h)).alias("own"))).otherwise(a))
-    plan = plan.withColumn("got", greedy)
-    rest = F.array_min(F.transform(F.filter("values", lambda x: ~F.array_contains(F.col("got.own"), x.h)), lambda x: F.struct(x.size.alias("size"), x.h.alias("h"))))
-    plan = plan.withColumn("rest", rest).withColumn("own", F.when(F.col("rest.size") - F.col("got.left") < F.col("got.left"), F.concat("got.own", F.array("rest.h"))).otherwise(F.col("got.own")))
+    empty = F.array().cast("array<bigint>")
+    plan = plan.withColumn("values", F.coalesce("values", F.array().cast("array<struct<h:bigint,size:bigint>>")))
+    taking = lambda a, x, more: F.struct((a.left - x.size).alias("left"), F.concat(a.own, F.array(x.h)).alias("own"), *more)
+    # in order of hash up to the first that doesn't fit, but for some values kept back
+    begun = F.aggregate(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - SPARE)), F.struct(F.col("gap").alias("left"), empty.alias("own"), F.lit(True).alias("open")), lambda a, x: F.when(a.open & (x.size <= a.left), taking(a, x, [F.lit(True).alias("open")])).otherwise(F.struct(a.left.alias("left"), a.own.alias("own"), F.lit(False).alias("open"))))
+    plan = plan.withColumn("got", begun)
+    others = F.transform(F.filter("values", lambda x: ~F.array_contains(F.col("got.own"), x.h)), lambda x: F.struct(x.size.alias("size"), x.h.alias("h")))
+    plan = plan.withColumn("others", F.sort_array(others, False))
+    plan = plan.withColumn("fits", F.filter("others", lambda x: x.size <= F.col("got.left")))
+    # then the largest that still fit, from a few starts; or the smallest of all, if to exceed comes nearer
+    fill = lambda skip: F.aggregate(F.slice("fits", skip + 1, SETTLE), F.struct(F.col("got.left").alias("left"), empty.alias("own")), lambda a, x: F.when(x.size <= a.left, taking(a, x, [])).otherwise(a))
+    ways = [F.struct(w["left"].alias("off"), w["own"].alias("own")) for w in map(fill, range(STARTS))]
+    over = F.array_min(F.filter("others", lambda x: x.size > F.col("got.left")))
+    ways.append(F.when(over.isNotNull(), F.struct((over["size"] - F.col("got.left")).alias("off"), F.array(over["h"]).alias("own"))))
+    plan = plan.withColumn("own", F.concat("got.own", F.array_min(F.array_compact(F.array(*ways)))["own"]))
     return materialize(plan.select("k", "source_size", "target", F.col("base").cast("int").alias("base"), "bound", F.lit(level).alias("level"), "own"), "mix-plan"), n
 
 
