@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CHROMA, LUMA, ZIGZAG
 from ..functions.scalars import byte_hex, clamp, u16_hex
 from . import bits, blocks, huffman, pixels, tokens
+from .settle import settle
 
 # Start and end of the image, the application segment, the start of the scan.
 START, END = "FFD8", "FFD9"
@@ -79,7 +80,8 @@ def encode_images(images: DataFrame, width: int, height: int, sx: int = 2, sy: i
 
     The frame records the padded size, or the original one on demand.
     """
-    stream, codes = token_stream(image_blocks(images, width, height, sx, sy), sx, sy)
+    # blocks feed the histograms and the coding, which can't start before those are complete
+    stream, codes = token_stream(settle(image_blocks(images, width, height, sx, sy)), sx, sy)
     # two bit strings a token, code then value
     per_block = stream.groupBy("image_id", "mcu", "comp_seq").agg(F.array_sort(F.collect_list(F.struct("tok_seq", "hcode", "hlen", "vbits", "vlen"))).alias("t"))
     coded = per_block.select("image_id", (F.col("mcu") * (sx * sy + 2) + F.col("comp_seq")).alias("block"), F.posexplode(F.flatten(F.transform("t", lambda x: F.array(F.struct(x["hcode"].alias("code"), x["hlen"].alias("len")), F.struct(x["vbits"].alias("code"), x["vlen"].alias("len")))))).alias("pos", "x"))
