@@ -16,7 +16,7 @@ COORDS, MATCHES = 64, 38
 #: Two signatures with MATCHES equal coordinates share one among any PREFIX of them.
 PREFIX = COORDS - MATCHES + 1
 #: Rarest postings of a document that meet their list's leader, and leaders that it is compared with, at first.
-STAR, LEADERS = 6, 2
+STAR, LEADERS = 10, 6
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 1 << 63, COORDS, np.uint64)
 
@@ -47,7 +47,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """(c, v, rank): the postings of each class under its rarest coordinate values, as far as they can meet another.
+    """(c, v, rank, known): the postings of each class under its rarest coordinate values, as far as they can meet
+    another; known is how often all its values are posted, which is most for the text that a group's copies stem from.
 
     A value that only one class has meets nothing but takes a place of the prefix, so most documents post nothing.
     """
@@ -55,7 +56,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     often = materialize(posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "near-often")
     shared = posted.join(often.hint("merge"), "v").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("p"))
     free = F.greatest(F.lit(0), F.lit(PREFIX) - (COORDS - F.size("p")))
-    return materialize(shared.select("c", F.posexplode(F.slice("p", F.lit(1), free)).alias("rank", "x")).select("c", F.col("x.v").alias("v"), "rank"), "near-prefixes")
+    return materialize(shared.select("c", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("known"), F.posexplode(F.slice("p", F.lit(1), free)).alias("rank", "x")).select("c", F.col("x.v").alias("v"), "rank", "known"), "near-prefixes")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -88,14 +89,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return map_arrow(rows, verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
+def _rare_pairs(apart: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): pairs of classes (c, g, n) of different components g that may have the similarity, by their full sets.
+
+    Two such sets share a shingle among the rarest of each: of n, all but percent of them, plus one. Counts are taken
+    among the given classes; a shingle that only one has takes a place of its prefix and meets nothing. The place of
+    the first shared shingle bounds what can be shared from there on, which drops most pairs that share a common one.
+    """
+
+    def spread(batch: pa.RecordBatch) -> dict:
+        c, s = [], []
+        for row, end, values, first in shingle_sets(batch.column(1), size):
+            c.append(np.repeat(np.arange(row, end), np.diff(first)))
+            s.append(values)
+        return {"c": batch.column(0).take(pa.array(np.concatenate(c))), "s": np.concatenate(s).view(np.int64)}
+
+    held = map_arrow(texts.select("c", "x"), spread, T.StructType([T.StructField("c", T.LongType()), T.StructField("s", T.LongType())]))
+    often = materialize(held.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "near-shingles")
+    ranked = held.join(often.hint("merge"), "s").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("p")).join(apart, "c")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    lone = (F.col("n") - F.size("p")).cast("int")
+    posts = ranked.select("c", "g", "n", lone.alias("lone"), F.posexplode(F.slice("p", F.lit(1), F.greatest(F.lit(0), (prefix - lone).cast("int")))).alias("i", "x"))
+    posts = materialize(posts.select("c", "g", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("lone") - F.col("i")).alias("rest")), "near-rare")
+    x, y = (posts.select("s", F.col("c").alias(k), F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
+    fits = (x["ga"] < y["gb"]) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("ra", "rb") * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    pairs = x.join(y.hint("merge"), (x["s"] == y["s"]) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row, and text_hash to tell rows of one id apart.
 
     Rows with equal shingle sets are one class. Classes are posted under every coordinate-value pair of their
     signature; a prefix of the rarest postings is enough to meet every class that matches MATCHES times. First each
-    class meets only the leaders of its posting lists, which joins the members of a large group without pairing
-    them; then all pairs of a list that still lie in different components are counted over the full signature. Pairs
-    that pass are confirmed on their full sets. Links that the first step skips join what is joined already.
+    class meets only the best-known members of its posting lists, which joins the members of a large group without pairing
+    them. Classes of lists that still hold several components then meet by the rarest shingles of their full sets. All
+    pairs are confirmed on their full sets. Links that are never looked at join what is joined already.
 
     Cases: null and empty texts have an empty set, link with nothing and are kept; texts of fewer words than `size`
     are one shingle; null ids take part and count as larger than any id; repeated rows share a class and, with equal
@@ -105,31 +134,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(rows.where("c is not null").groupBy("c").agg(F.min("i").alias("least"), F.min(F.struct("i", "t")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     posts = _prefixes(classes)
     star = posts.where(F.col("rank") < STAR)
-    lead = materialize(star.groupBy("v").agg(F.min_by("c", F.xxhash64("c", "v")).alias("b"), F.count("*").alias("m")).where("m > 1").select("v", "b"), "near-leaders")
+    lead = materialize(star.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.count("*").alias("m")).where("m > 1").select("v", "b"), "near-leaders")
     first = star.join(lead.hint("merge"), "v").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
     best = _alike(first, classes, percent).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "b")), False), 1, LEADERS).alias("x")).select("a", F.explode("x").alias("x"))
     tested = materialize(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "near-pairs")
 
     named = docs.select(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(f"`{text_col}`").alias("x"))
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "rep.i", "rep.t"), "c")
+    def texts(needed: DataFrame) -> DataFrame:
+        needed = needed.distinct().join(classes.select("c", "rep.i", "rep.t"), "c")
         found = named.join(needed.hint("merge"), (named["t"] == needed["t"]) & named["i"].eqNullSafe(needed["i"]))
         return materialize(found.select("c", "x").dropDuplicates(["c"]), "near-texts")
 
-    links = materialize(_confirmed(tested, texts(tested), size, percent), "near-links")
+    ends = lambda pairs: pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
+    links = materialize(_confirmed(tested, texts(ends(tested)), size, percent), "near-links")
     comps = components(links, "near")
     labelled = posts.select("c", "v").join(comps.withColumnRenamed("node", "c"), "c", "left").select("v", "c", F.coalesce("component", "c").alias("g"))
     labelled = materialize(labelled.join(classes.select("c", "n"), "c"), "near-labelled")
     mixed = materialize(labelled.groupBy("v").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("v"), "near-mixed")
     left = materialize(labelled.join(mixed.hint("merge"), "v"), "near-left")
-    x, y = left.select("v", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na")), left.select("v", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"))
-    cross = x.join(y.hint("merge"), (x["v"] == y["v"]) & (x["ga"] < y["gb"]) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = materialize(_alike(cross, classes, percent), "near-pairs")
+    apart = materialize(left.select("c", "g", "n").distinct(), "near-apart")
+    cross = _rare_pairs(apart, texts(apart.select("c")), size, percent).join(tested, ["a", "b"], "left_anti")
+    more = materialize(cross, "near-pairs")
     if not more.isEmpty():
-        links = materialize(links.union(_confirmed(more, texts(more), size, percent)), "near-links")
-        comps = components(links, "near")
+        found = materialize(_confirmed(more, texts(ends(more)), size, percent), "near-links")
+        if not found.isEmpty():
+            comps = components(links.union(found), "near")
     ids = classes.select("c", "least").join(comps.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("g"))
     of = ids.groupBy("g").agg(F.min("least").alias("component_id"))
     named_classes = materialize(ids.join(of, "g").select("c", "component_id"), "near-components")
