@@ -93,24 +93,19 @@ def _dictionary(lines: list[bytes]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from a bounded sample of the labelled rows that aren't held out.
 
+    Labelled ids are chosen by hash first, 2 * SAMPLE_ROWS of each class, so documents are only scanned.
     Dictionaries: of each class the SAMPLE_LINES lines (cut to LINE_BYTES) of least hash, without lines that both
     classes hold. Calibration: logistic regression over the measures of the SAMPLE_ROWS rows of least hash of each
     class, whole texts, with the classes weighing as in all labelled rows; only the measures reach the driver.
     """
     named = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y")).where("y in (0, 1)").where(~held_out(F.col("i"))).dropDuplicates(["i"])
-    known = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(named, "i").where("t is not null")
-    rows: dict[int, list] = {}
     share = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    known = known.withColumn("h", F.xxhash64("i", "t"))
-    # rows of least hash by a threshold that keeps a few times the bound, then the exact bound
-    picked = []
-    for y in (0, 1):
-        n = share.get(y, 0)
-        keep = known.where(F.col("y") == y)
-        if n > 4 * SAMPLE_ROWS:
-            keep = keep.where(F.shiftrightunsigned("h", 1) < int((1 << 63) * (3 * SAMPLE_ROWS / n)))
-        picked.append(keep)
-    sample = materialize(picked[0].unionByName(picked[1]), "quality-sample")
+    # ids of least hash, twice the bound as some may have no text: few enough to broadcast whatever the table's size
+    picked = [named.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(2 * SAMPLE_ROWS) for y in (0, 1)]
+    chosen = materialize(picked[0].unionByName(picked[1]), "quality-labels")
+    known = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    sample = materialize(known.join(F.broadcast(chosen), "i").withColumn("h", F.xxhash64("i", "t")), "quality-sample")
+    rows: dict[int, list] = {}
     cut = F.explode(F.split("t", "\n")).alias("line")
     for y in (0, 1):
         lines = sample.where(F.col("y") == y).select(cut).select(F.substring("line", 1, LINE_BYTES).alias("line")).where(F.length("line") > 0).distinct()
