@@ -481,3 +481,21 @@ def test_surrogates_move_off_other_originals(spark):
     both = df.unionByName(spark.createDataFrame(clash, "doc_id long, text string"))
     out = [r.surrogate_text for r in pii.replace_entities(both, b"key").collect()]
     assert len(set(out)) == 101 and not set(out) & {r[1] for r in clash}
+
+
+def test_surrogates_change_names_and_addresses_of_all_scripts(spark):
+    from tilespark.llm import pii
+
+    given = ["Yu", "Ye", "Łóś", "Жук", "Шэй", "Юнёй", "Ής", "Ίων", "Ծով", "王小明", "Strauß", "İşık", "ÅÄÖ", "O'"]
+    s = pii.Surrogates(b"key")
+    made = {n: pii._write("person", n, [s.of("person", *x[1:]) for x in pii._normal("person", n)]) for n in given}
+    assert all(len(a) == len(b) and [c.isupper() for c in a] == [c.isupper() for c in b] for a, b in made.items())
+    # alphabets part the letters: each member has the same one
+    letters = [chr(i) for i in range(0x80, 0x3000) if chr(i).isalnum()]
+    assert all(all(pii._other_letter(x) == a for x in a) for a in map(pii._other_letter, letters))
+    mails = ["иван@почта.рф", "łóś@żółć.pl", "__@__.com", "٣٤@٥٦.com"]
+    rows = [(i, f"Dr {x} came") for i, x in enumerate(given) if x not in ("王小明",)] + [(100 + i, f"write to {x} now") for i, x in enumerate(mails)]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()
+    assert all(r.n_entities == 1 and r.surrogate_text != r.text for r in got)
+    assert all(x not in r.surrogate_text for r in got for x in mails)
+    assert len({r.surrogate_text for r in got}) == len(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -17,6 +18,8 @@ from .common import add_columns, map_arrow, materialize, replace_columns, table
 #: Entities whose surrogate is some other entity's original get another one up to so many; they are sent to executors.
 EXCEPTIONS = 200_000
 ROUNDS, TRIES = 8, 20
+#: Salts from here on write a wider format: names and emails get more letters, other kinds have letters for digits.
+WIDE = 1 << 30
 
 _GAP = r"[\s.\-!#$%&*|]{0,4}"
 # Titles that tell a person and, where they do, the gender.
@@ -38,9 +41,44 @@ ENTITY = regex.compile(
 ANCHOR = re.compile(rf"[0-9@]|(?:{'|'.join(TITLES)})\.?\ ")
 MARGIN = 128
 
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxz"
-#: Alphabets of one script and kind; a letter is replaced within its own.
-_ALPHABETS = {"cyrillic": ("аеиоуя", "бвгдзклмнпрстх"), "greek": ("αειουω", "βγδζκλμνπρστφχ")}
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: Alphabets of other scripts and kinds; a letter is replaced within its own. Letters of none of them go by code range.
+_ALPHABETS = ("аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "ъь", "αειουωη", "άέίόύώή", "βγδζθκλμνξπρστφχψ")
+_OWN = {c: a for x in _ALPHABETS for a in (x, x.upper()) for c in a}
+_LATIN = range(0xC0, 0x180)
+
+
+def _class(c: str) -> tuple:
+    """What letters of one alphabet have in common: kind and case, script, whether case can be undone, vowel or not."""
+    flip = c.swapcase()
+    undone = len(flip) == 1 and flip.swapcase() == c and unicodedata.normalize("NFC", c) == c
+    vowel = unicodedata.normalize("NFD", c)[0].lower() in "aeiouyæøœıаеиоуыэюяіαειουωη"
+    return unicodedata.category(c), unicodedata.name(c, "").split(" ")[0], undone, vowel
+
+
+@functools.lru_cache(1 << 16)
+def _other_letter(c: str) -> str:
+    """The alphabet of a letter or digit that isn't ASCII: its digits, its script's letters, or those of its code range."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if c in _OWN:
+        return _OWN[c]
+    if not c.isalpha():
+        return ""
+    start = ord(c) & ~0xFF
+    near = _LATIN if ord(c) in _LATIN else range(max(start, 0x80), start + 256)
+    own = _class(c)
+    return "".join(x for x in map(chr, near) if x not in _OWN and (ord(x) in _LATIN) == (ord(c) in _LATIN) and _class(x) == own)
+
+
+def _lower(text: str) -> str:
+    """text in lower case, but for letters that would become several."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _upper(text: str) -> str:
+    return "".join(x if len(x := c.upper()) == 1 else c for c in text)
 
 
 def _luhn(digits: str) -> bool:
@@ -95,17 +133,36 @@ class Surrogates:
     def _letter(c: str) -> str:
         if c.isascii():
             return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else ""
-        return ""
+        return _other_letter(c)
 
     @staticmethod
     def _name_letter(c: str) -> str:
-        for a in (_VOWELS, _CONSONANTS, *_ALPHABETS["cyrillic"], *_ALPHABETS["greek"]):
+        for a in (_VOWELS, _CONSONANTS):
             if c in a:
                 return a
-        return ""
+        return "" if c.isascii() else _other_letter(c)
+
+    def _wide(self, kind: str, normal: str, salt: int) -> str:
+        """A surrogate outside the entity's format, where that has no place left; more letters the longer none is found."""
+        tweak = f"{kind}{salt}"
+        if kind in ("email", "person"):
+            text, at, rest = normal.rpartition("@") if kind == "email" else (normal[:-1], "", normal[-1:])
+            text, rest = (text, rest) if at or kind == "person" else (normal, "")
+            alphabet_of = self._letter if kind == "email" else self._name_letter
+            sets = [a for c in text if len(a := alphabet_of(c)) > 1 and not a[0].isdecimal()]
+            more = (sets[-1][0] + sets[0][-1] if sets else "ba") * (1 + (salt - WIDE) // 64)
+            if kind == "person":
+                return self._spell(tweak, text + more, alphabet_of) + rest
+            host, _, top = rest.rpartition(".")
+            return f"{self._spell(tweak, text + more, alphabet_of)}@{self._spell('domain', host, self._letter)}.{top}"
+        keep = len(normal) - len(normal.rpartition(" ")[2]) if kind == "phone" else 2 if kind == "iban" else 0
+        letters = "".join("abcdefghij"[unicodedata.decimal(c)] if c.isdecimal() else c for c in normal[keep:])
+        return normal[:keep] + self._spell(tweak, letters, self._letter)
 
     def of(self, kind: str, normal: str, salt: int = 0) -> str:
         """The surrogate of an entity's normal form."""
+        if salt >= WIDE:
+            return self._wide(kind, normal, salt)
         tweak = f"{kind}{salt or ''}"
         if kind == "email":
             local, domain = normal.rsplit("@", 1)
@@ -135,7 +192,9 @@ class Surrogates:
             code, _, rest = normal.rpartition(" ")
             return f"{code} {self._spell(tweak, rest, self._letter)}" if code else self._spell(tweak, rest, self._letter)
         if kind == "person":
-            # the last letter stays: it carries the gender of a given name in many languages
+            # the last letter stays: it carries the gender of a given name in many languages; but not where it is all there is
+            if all(len(self._name_letter(c)) < 2 for c in normal[:-1]):
+                return self._spell(tweak, normal, self._name_letter)
             return self._spell(tweak, normal[:-1], self._name_letter) + normal[-1:]
         return self._spell(tweak, normal, self._letter)
 
@@ -161,7 +220,7 @@ def _normal(kind: str, text: str) -> list[tuple[str, str]]:
     if kind == "ip":
         return [(kind, ".".join(str(int(x)) for x in text.split(".")))]
     if kind == "person":
-        return [(kind, unicodedata.normalize("NFC", w).lower()) for w in text.split(" ")]
+        return [(kind, _lower(unicodedata.normalize("NFC", w))) for w in text.split(" ")]
     return [(kind, text)]
 
 
@@ -176,7 +235,7 @@ def _write(kind: str, text: str, new: list[str]) -> str:
     if kind == "person":
         words = []
         for w, n in zip(text.split(" "), new):
-            words.append(n.upper() if w.isupper() and len(w) > 1 else "".join(b.upper() if a.isupper() else b for a, b in zip(w, n)))
+            words.append(_upper(n) if w.isupper() and len(w) > 1 else "".join(_upper(b) if a.isupper() else b for a, b in zip(w, n)) + n[len(w) :])
         return " ".join(words)
     return new[0]
 
@@ -248,12 +307,13 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
     def salted(batch: pa.RecordBatch) -> dict:
         s = Surrogates(key)
         kind, normal, salt = (batch.column(i).to_pylist() for i in range(3))
-        return {"kind": kind, "normal": normal, "salt": [x + 1 for x in salt], "new": [s.of(k, n, x + 1) for k, n, x in zip(kind, normal, salt)]}
+        after = [WIDE if x == TRIES or s.of(k, n, 1) == s.of(k, n, 2) == n else x + 1 for k, n, x in zip(kind, normal, salt)]
+        return {"kind": kind, "normal": normal, "salt": after, "new": [s.of(k, n, x) for k, n, x in zip(kind, normal, after)]}
 
     exceptions: dict[tuple[str, str], int] = {}
     originals = known.select("kind", F.col("normal").alias("new"))
     moved = None
-    for turn in range(TRIES):
+    for turn in range(2 * TRIES):
         now = known if moved is None else moved
         met = now.join(originals, ["kind", "new"], "left_semi")
         if moved is not None:
