@@ -499,3 +499,25 @@ def test_surrogates_change_names_and_addresses_of_all_scripts(spark):
     assert all(r.n_entities == 1 and r.surrogate_text != r.text for r in got)
     assert all(x not in r.surrogate_text for r in got for x in mails)
     assert len({r.surrogate_text for r in got}) == len(rows)
+
+
+def test_surrogates_leave_no_original_however_many_collide(spark, monkeypatch):
+    from tilespark.llm import pii
+
+    # 42 of the 105 names of a small format, and all names of another, which has no place left
+    some = [f"{c}{v}n" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "ae"]
+    every = [f"{c}u" for c in "BCDFGHJKLMNPQRSTVWXYZ"]
+    numbers = [f"+1 {i:06}"[:5] + f" {i % 10000:04}"[:3] + f" {i % 100:02}" for i in range(0, 1_000_000, 4999)]
+    given = some + every + numbers
+    df = spark.createDataFrame([(i, f"Mr {x}" if x[0] != "+" else f"at {x}") for i, x in enumerate(given)] + [(0, f"Mr {given[0]}"), (9999, None)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "SALTS", 128)
+    out = []
+    for most in (5, 1000):
+        monkeypatch.setattr(pii, "EXCEPTIONS", most)
+        out.append(sorted((r.doc_id, r.surrogate_text or "", r.n_entities) for r in pii.replace_entities(df, b"key").collect()))
+    assert out[0] == out[1] and len(out[0]) == len(given) + 2
+    new = {i: t.split(" ", 1)[1] for i, t, n in out[0] if n}
+    assert len(set(new.values())) == len(given) and not set(new.values()) & set(given)
+    # where there are places enough the format stays
+    assert all(len(new[i]) == 3 and new[i][-1] == "n" for i in range(len(some)))
+    assert all(re.fullmatch(r"\+1 \d\d \d\d \d\d", new[i]) for i in range(len(some) + len(every), len(given)))

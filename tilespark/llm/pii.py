@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, map_arrow, materialize, replace_columns, table
+from .common import add_columns, free_name, map_arrow, materialize, replace_columns, table
 
-#: Entities whose surrogate is some other entity's original get another one up to so many; they are sent to executors.
+#: Salts of entities that moved are sent to executors up to so many; beyond it they are joined by shuffle.
 EXCEPTIONS = 200_000
-ROUNDS, TRIES = 8, 20
+#: Turns of the permutation, and turns of salting within an entity's format; salts in a turn: so many for each entity at
+#: least, CANDIDATES in all where few entities are left, SALTS at most.
+ROUNDS, TRIES, LEAST_SALTS, SALTS, CANDIDATES = 8, 20, 4, 4096, 200_000
 #: Salts from here on write a wider format: names and emails get more letters, other kinds have letters for digits.
 WIDE = 1 << 30
 
@@ -274,14 +276,72 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+SALTED = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "normal")] + [T.StructField("salt", T.IntegerType()), T.StructField("new", T.StringType())])
+
+
+def _moved(known: DataFrame, key: bytes) -> DataFrame | None:
+    """(kind, normal, salt, new) of the entities that need a salt, or None: none of them has an original or another's surrogate.
+
+    Each turn every entity that is left tries some salts, more the fewer are left. Values that nobody has go to
+    the entity that has them by the least salt, and entities take the first that they got, so the result depends on
+    the entities alone. Where TRIES turns, or two of SALTS salts an entity, found no place, the formats that are left
+    are full: their salts write a wider format from there on, which grows until there is a place.
+    """
+    originals = known.select("kind", F.col("normal").alias("new"))
+    left = materialize(known.join(originals, ["kind", "new"], "left_semi").select("kind", "normal"), "pii-met")
+    n = left.count()
+    if not n:
+        return None
+    taken = known.join(left, ["kind", "normal"], "left_anti").select("kind", "new")
+    moved, salt, turn, vain = None, 1, 0, 0
+    while n:
+        if salt < WIDE and (turn == TRIES or vain == 2):
+            salt = WIDE
+        many = max(LEAST_SALTS, min(SALTS, CANDIDATES // n))
+
+        def salted(batch: pa.RecordBatch, salt=salt, many=many) -> dict:
+            s, out = Surrogates(key), []
+            for k, n in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                seen = {n}
+                for x in range(salt, salt + many):
+                    if (new := s.of(k, n, x)) not in seen:
+                        seen.add(new)
+                        out.append((k, n, x, new))
+            return {f: [r[i] for r in out] for i, f in enumerate(SALTED.names)}
+
+        tried = map_arrow(left, salted, SALTED).join(originals.union(taken), ["kind", "new"], "left_anti")
+        own = tried.groupBy("kind", "new").agg(F.min(F.struct("salt", F.xxhash64("normal").alias("h"), "normal")).alias("x")).select("kind", "x.normal", "x.salt", "new")
+        got = materialize(own.groupBy("kind", "normal").agg(F.min(F.struct("salt", "new")).alias("x")).select("kind", "normal", "x.salt", "x.new"), "pii-moved")
+        moved = got if moved is None else moved.unionByName(got)
+        taken = taken.unionByName(got.select("kind", "new"))
+        left = materialize(left.join(got, ["kind", "normal"], "left_anti"), "pii-met")
+        before, n = n, left.count()
+        salt, turn, vain = salt + many, turn + 1, vain + 1 if n == before and many == SALTS else 0
+    return moved
+
+
+def _with_salts(docs: DataFrame, moved: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with the salts of the moved entities of each text, by the text's hash; a list of two texts serves both."""
+
+    def listed(batch: pa.RecordBatch) -> dict:
+        found = sorted({(h, *x) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, kind in entities(t) for x in _normal(kind, t[a:b])})
+        return {f: [r[i] for r in found] for i, f in enumerate(("h", "kind", "normal"))}
+
+    h = free_name(docs, f"{name}_of")
+    hashed = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`")))
+    held = map_arrow(hashed.select(h, F.col(f"`{text_col}`")), listed, T.StructType.fromDDL("h long, kind string, normal string")).distinct()
+    lists = held.join(moved.select("kind", "normal", "salt").hint("shuffle_merge"), ["kind", "normal"]).groupBy(F.col("h").alias(h)).agg(F.collect_list(F.struct("kind", "normal", "salt")).alias(name))
+    return hashed.join(materialize(lists, "pii-salts"), h, "left").drop(h)
+
+
 def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with surrogate_text and n_entities: emails, addresses, numbers, secrets and titled names replaced everywhere alike.
 
     A surrogate is a keyed permutation within the entity's kind and format, so one entity has the same surrogate in
     all documents and two entities never share one; Luhn-valid numbers stay valid, and others invalid. All distinct
-    entities are then checked: one whose surrogate is itself or another's original moves on by a salt, and a salted
-    one that would meet another's surrogate moves on again. Those few exceptions are broadcast (up to EXCEPTIONS; beyond
-    it the permutation stands as it is, which is distinct all the same).
+    entities are then checked: one whose surrogate is itself or another's original moves on by salts until it meets no
+    original and no surrogate, and into a wider format only where its own has no place left. The salts of those that
+    moved are broadcast, or joined by shuffle where there are more than EXCEPTIONS.
 
     Cases: null stays null with no entities; empty and long texts, null ids and repeated rows need nothing special; an
     empty table gives an empty result; input columns named like the added ones are replaced.
@@ -301,33 +361,13 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
         rows = sorted(found)
         return {"kind": [k for k, _ in rows], "normal": [n for _, n in rows], "salt": [0] * len(rows), "new": [s.of(k, n) for k, n in rows]}
 
-    schema = T.StructType.fromDDL("kind string, normal string, salt int, new string")
-    known = materialize(map_arrow(docs.select(F.col(f"`{text_col}`").alias("t")), listed, schema).groupBy("kind", "normal").agg(F.first("salt").alias("salt"), F.first("new").alias("new")), "pii-entities")
-
-    def salted(batch: pa.RecordBatch) -> dict:
-        s = Surrogates(key)
-        kind, normal, salt = (batch.column(i).to_pylist() for i in range(3))
-        after = [WIDE if x == TRIES or s.of(k, n, 1) == s.of(k, n, 2) == n else x + 1 for k, n, x in zip(kind, normal, salt)]
-        return {"kind": kind, "normal": normal, "salt": after, "new": [s.of(k, n, x) for k, n, x in zip(kind, normal, after)]}
-
-    exceptions: dict[tuple[str, str], int] = {}
-    originals = known.select("kind", F.col("normal").alias("new"))
-    moved = None
-    for turn in range(2 * TRIES):
-        now = known if moved is None else moved
-        met = now.join(originals, ["kind", "new"], "left_semi")
-        if moved is not None:
-            others = known.join(moved.select("kind", "normal"), ["kind", "normal"], "left_anti").select("kind", "new")
-            twins = now.groupBy("kind", "new").agg(F.count("*").alias("n")).where("n > 1").select("kind", "new")
-            met = met.unionByName(now.join(others.union(twins), ["kind", "new"], "left_semi")).select("kind", "normal", "salt", "new").distinct()
-        met = materialize(met.select("kind", "normal", "salt", "new"), "pii-met")
-        n = met.count()
-        if n == 0 or (turn == 0 and n > EXCEPTIONS):
-            break
-        again = map_arrow(met.select("kind", "normal", "salt"), salted, schema)
-        moved = materialize(again if moved is None else moved.join(met.select("kind", "normal"), ["kind", "normal"], "left_anti").unionByName(again), "pii-moved")
-    if moved is not None:
-        exceptions = {(r.kind, r.normal): r.salt for r in moved.toLocalIterator()}
+    known = materialize(map_arrow(docs.select(F.col(f"`{text_col}`").alias("t")), listed, SALTED).groupBy("kind", "normal").agg(F.first("salt").alias("salt"), F.first("new").alias("new")), "pii-entities")
+    moved = _moved(known, key)
+    large = moved is not None and moved.count() > EXCEPTIONS
+    exceptions = {} if moved is None or large else {(r.kind, r.normal): r.salt for r in moved.toLocalIterator()}
+    held = free_name(docs, "pii_salts")
+    if large:
+        docs = _with_salts(docs, moved, text_col, held)
     sent = spark.sparkContext.broadcast(exceptions)
     own: list[Surrogates] = []
 
@@ -335,18 +375,20 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
         if not own:
             own.append(Surrogates(key))
         texts, counts = [], []
-        for t in batch.column(batch.schema.get_field_index(text_col)):
+        lists = batch.column(batch.schema.get_field_index(held)) if large else None
+        for i, t in enumerate(batch.column(batch.schema.get_field_index(text_col))):
             t = t.as_py()
             found, at, out = entities(t), 0, []
+            salts = {(x["kind"], x["normal"]): x["salt"] for x in lists[i].as_py() or ()} if large else sent.value
             for a, b, kind in found:
-                new = [own[0].cached(k, n, sent.value.get((k, n), 0)) for k, n in _normal(kind, t[a:b])]
+                new = [own[0].cached(k, n, salts.get((k, n), 0)) for k, n in _normal(kind, t[a:b])]
                 out += [t[at:a], _write(kind, t[a:b], new)]
                 at = b
             texts.append(None if t is None else "".join([*out, t[at:]]))
             counts.append(len(found))
         return {"surrogate_text": pa.array(texts, pa.string()), "n_entities": counts}
 
-    return add_columns(docs, write, [T.StructField("surrogate_text", T.StringType()), T.StructField("n_entities", T.LongType())])
+    return add_columns(docs, write, [T.StructField("surrogate_text", T.StringType()), T.StructField("n_entities", T.LongType())], drop=(held,) if large else ())
 
 
 def op2_pii_surrogates(spark, sf_dir: str) -> DataFrame:
