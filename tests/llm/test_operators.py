@@ -309,6 +309,18 @@ def test_mixing_over_several_levels(spark, monkeypatch):
     assert all(abs(r.taken - r.target) <= 40 for r in got)
 
 
+def test_mixing_settles_small_sources_beside_a_hot_one(spark):
+    # 40,000 rows of one word need two levels; ten sources of 60 long documents need none
+    hot = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("hot").alias("source"))
+    words = F.array_join(F.array_repeat(F.lit("w"), (100 + F.col("id") * 7919 % 811).cast("int")), " ")
+    small = spark.range(600).select((100_000 + F.col("id")).alias("doc_id"), words.alias("text"), F.concat(F.lit("small"), (F.col("id") % 10).cast("string")).alias("source"))
+    df = hot.unionByName(small)
+    got = mixing.mix_report(df, weights=(1.0,)).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    off = {r.source: abs(r.taken - r.target) for r in got}
+    # less is missing than the smallest document has
+    assert len(off) == 11 and max(off.values()) < 100, sorted(off.values())
+
+
 # ---------------------------------------------------------------- 8
 def plain_lines(given, least):
     def key(x):

@@ -34,6 +34,11 @@ def _rank(h: Column, level: int) -> Column:
     return F.shiftrightunsigned(h, 64 - LEVEL_BITS * level) if level else F.lit(0).cast("long")
 
 
+def _rank_at(h: Column, level: Column) -> Column:
+    """_rank by a column of levels."""
+    return F.when(level > 0, F.call_function("shiftrightunsigned", h, (64 - LEVEL_BITS * level).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """(k, source_size, target) of rows (k, size): the weights repeat along the sources by code point, null last.
 
@@ -57,29 +62,31 @@ def _with_plan(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
 
 
 def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, int]:
-    """Plan of rows (k, size, h): one row a source with its whole copies and the hash threshold of one copy more.
+    """Plan of rows (k, size, h): one row a source with its whole copies, the hash threshold of one copy more and its level.
 
     Each level sums words by source and hash bucket, takes the buckets that fit below the budget, and looks only at
-    the bucket on the boundary again, by the next bits. The last bucket, of SETTLE hash values or fewer, is settled
-    value by value: in order of hash up to the first that doesn't fit, then the largest that still fit.
+    the bucket on the boundary again, by the next bits. A source whose bucket has SETTLE hash values or fewer stays at its
+    level, whatever others need, and that bucket is settled value by value: in order of hash up to the first that doesn't fit, then the largest that still fit.
     Nothing is sorted but those; the result depends on the hashes only, so reruns agree.
     """
-    state = materialize(source_targets(units, weights, share, cap).withColumns({"base": F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)}).withColumns({"gap": F.col("target") - F.col("base") * F.col("source_size"), "level": F.lit(0), "bound": F.lit(0).cast("long"), "n": F.lit(None).cast("long")}), "mix-targets")
+    state = materialize(source_targets(units, weights, share, cap).withColumns({"base": F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)}).withColumns({"gap": F.col("target") - F.col("base") * F.col("source_size"), "level": F.lit(0), "bound": F.lit(0).cast("long")}).join(units.groupBy("k").agg(F.count("*").alias("n")), "k"), "mix-targets")
     n = state.count()
-    level, most = 0, units.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    level, most = 0, state.agg(F.max("n")).first()[0] or 0
     while most > SETTLE and level < LEVELS:
         level += 1
-        inside = _with_plan(units, state.select("k", "bound"), n).where(_rank(F.col("h"), level - 1) == F.col("bound")) if level > 1 else units
+        settled, open_ = state.where(F.col("n") <= SETTLE), state.where(F.col("n") > SETTLE)
+        inside = _with_plan(units, open_.select("k", "bound"), n).where(_rank(F.col("h"), level - 1) == F.col("bound"))
         hist = inside.groupBy("k", _rank(F.col("h"), level).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
         upto = W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
-        cut = hist.withColumn("cum", F.sum("s").over(upto)).join(F.broadcast(state.select("k", "gap")) if n <= BROADCAST_SOURCES else state.select("k", "gap"), "k").where(F.col("cum") > F.col("gap"))
+        cut = hist.withColumn("cum", F.sum("s").over(upto)).join(F.broadcast(open_.select("k", "gap")) if n <= BROADCAST_SOURCES else open_.select("k", "gap"), "k").where(F.col("cum") > F.col("gap"))
         first = cut.groupBy("k").agg(F.min_by(F.struct("b", (F.col("gap") - F.col("cum") + F.col("s")).alias("left"), "n"), "b").alias("x"))
         # a source without a boundary takes all of its remaining buckets
-        old = state.select("k", "source_size", "target", "base", "gap", "bound")
+        old = open_.select("k", "source_size", "target", "base", "gap", "bound")
         past = F.shiftleft(F.col("bound") + 1, LEVEL_BITS)
-        state = materialize(old.join(first, "k", "left").select("k", "source_size", "target", "base", F.coalesce("x.left", F.lit(0.0)).alias("gap"), F.coalesce("x.b", past).alias("bound"), F.coalesce("x.n", F.lit(0)).alias("n")), f"mix-level{level}")
+        finer = old.join(first, "k", "left").select("k", "source_size", "target", "base", F.coalesce("x.left", F.lit(0.0)).alias("gap"), F.lit(level).alias("level"), F.coalesce("x.b", past).alias("bound"), F.coalesce("x.n", F.lit(0)).alias("n"))
+        state = materialize(finer.unionByName(settled), f"mix-level{level}")
         most = state.agg(F.max("n")).first()[0] or 0
-    inside = _with_plan(units, state.select("k", "bound"), n).where(_rank(F.col("h"), level) == F.col("bound"))
+    inside = _with_plan(units, state.select("k", "bound", "level"), n).where(_rank_at(F.col("h"), F.col("level")) == F.col("bound"))
     values = inside.groupBy("k", "h").agg(F.sum("size").alias("size")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("h", "size"))).alias("values"))
     plan = state.join(values, "k", "left")
     empty = F.array().cast("array<bigint>")
@@ -97,11 +104,11 @@ def mixing_plan(units: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     over = F.array_min(F.filter("others", lambda x: x.size > F.col("got.left")))
     ways.append(F.when(over.isNotNull(), F.struct((over["size"] - F.col("got.left")).alias("off"), F.array(over["h"]).alias("own"))))
     plan = plan.withColumn("own", F.concat("got.own", F.array_min(F.array_compact(F.array(*ways)))["own"]))
-    return materialize(plan.select("k", "source_size", "target", F.col("base").cast("int").alias("base"), "bound", F.lit(level).alias("level"), "own"), "mix-plan"), n
+    return materialize(plan.select("k", "source_size", "target", F.col("base").cast("int").alias("base"), "bound", "level", "own"), "mix-plan"), n
 
 
-def _copies(h: Column, level: int) -> Column:
-    rank = _rank(h, level)
+def _copies(h: Column) -> Column:
+    rank = _rank_at(h, F.col("level"))
     more = (rank < F.col("bound")) | ((rank == F.col("bound")) & F.array_contains("own", h))
     return F.col("base") + F.when(more, 1).otherwise(0)
 
@@ -117,11 +124,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k, h = (free_name(docs, f"mix_{x}") for x in ("k", "h"))
     units = docs.select(_key(F.col(f"`{source_col}`")).alias("k"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"))
     plan, n = mixing_plan(materialize(units, "mix-units"), weights, share, cap)
-    level = (plan.select("level").first() or [0])[0]
-    small = plan.select(F.col("k").alias(k), "base", "bound", "own")
-    names = {c: free_name(docs, f"mix_{c}") for c in ("base", "bound", "own")}
+    small = plan.select(F.col("k").alias(k), "base", "bound", "level", "own")
+    names = {c: free_name(docs, f"mix_{c}") for c in ("base", "bound", "level", "own")}
     small = small.withColumnsRenamed(names)
-    rank = _rank(F.col(h), level)
+    rank = _rank_at(F.col(h), F.col(names["level"]))
     more = (rank < F.col(names["bound"])) | ((rank == F.col(names["bound"])) & F.array_contains(names["own"], F.col(h)))
     joined = docs.withColumns({k: _key(F.col(f"`{source_col}`")), h: F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))}).join(F.broadcast(small) if n <= BROADCAST_SOURCES else small, k)
     return joined.withColumn("copies", F.col(names["base"]) + F.when(more, 1).otherwise(0)).drop(k, h, *names.values())
@@ -131,8 +137,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, size, source_size, target, taken) of every row; the texts are read once."""
     units = materialize(docs.select(F.col(f"`{id_col}`").alias(id_col), _key(F.col(f"`{source_col}`")).alias("k"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h")), "mix-units")
     plan, n = mixing_plan(units.select("k", "size", "h"), weights, share, cap)
-    level = (plan.select("level").first() or [0])[0]
-    return _with_plan(units, plan.drop("level"), n).select(id_col, "size", "source_size", "target", (F.col("size") * _copies(F.col("h"), level)).cast("long").alias("taken"))
+    return _with_plan(units, plan, n).select(id_col, "size", "source_size", "target", (F.col("size") * _copies(F.col("h"))).cast("long").alias("taken"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
