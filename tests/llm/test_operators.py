@@ -83,6 +83,16 @@ def test_quality_hard_cases(spark, hard):
     assert quality.score(hard.limit(0), quality.fit(hard, labels)).count() == 0
 
 
+def test_quality_learns_from_the_whole_of_long_lines(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    start, late = " ".join(word() for _ in range(120)), {y: [word() for _ in range(40)] for y in (0, 1)}
+    rows = [(i, f"{start} {' '.join(rng.permutation(late[i % 2]))}", i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df.drop("quality"), df.drop("text"))
+    assert all(w.encode() in d for d, y in ((model.bad, 0), (model.good, 1)) for w in late[y][:5])
+
+
 # ---------------------------------------------------------------- 3
 def plain_statistics(text):
     words = WORD.findall(text or "")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .common import add_columns, map_arrow, materialize, replace_columns, table
 
-#: Labelled lines of a class, and labelled rows of a class, that are learned from at most: the bound of the sample.
+#: Pieces of labelled lines of a class, and labelled rows of a class, that are learned from at most: the bound of the sample.
 SAMPLE_LINES, SAMPLE_ROWS = 20_000, 3_000
 #: Bytes of a line piece in the sample, of a dictionary, of a piece that is compressed at once; the level.
 LINE_BYTES, DICT_BYTES, PIECE_BYTES, LEVEL = 512, 65_536, 2_048, 3
@@ -90,12 +90,27 @@ def _dictionary(lines: list[bytes]) -> bytes:
         return b"".join(lines)[-DICT_BYTES:]
 
 
+def line_pieces(batch: pa.RecordBatch) -> dict:
+    """All lines of the texts in pieces of LINE_BYTES bytes, the last one shorter; characters stay whole."""
+    out = set()
+    for t in batch.column(0).to_pylist():
+        for line in filter(None, t.split("\n")):
+            data, at = line.encode(), 0
+            while at < len(data):
+                end = min(at + LINE_BYTES, len(data))
+                while end < len(data) and data[end] & 0xC0 == 0x80:
+                    end -= 1
+                out.add(data[at:end].decode())
+                at = end
+    return {"line": sorted(out)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from a bounded sample of the labelled rows that aren't held out.
 
     Labelled ids are chosen by hash first, 2 * SAMPLE_ROWS of each class, so documents are only scanned.
-    Dictionaries: of each class the SAMPLE_LINES lines (cut to LINE_BYTES) of least hash, without lines that both
-    classes hold. Calibration: logistic regression over the measures of the SAMPLE_ROWS rows of least hash of each
+    Dictionaries: of each class the SAMPLE_LINES pieces of least hash, of lines in pieces of LINE_BYTES, without pieces
+    that both classes hold. Calibration: logistic regression over the measures of the SAMPLE_ROWS rows of least hash of each
     class, whole texts, with the classes weighing as in all labelled rows; only the measures reach the driver.
     """
     named = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y")).where("y in (0, 1)").where(~held_out(F.col("i"))).dropDuplicates(["i"])
@@ -106,9 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
     sample = materialize(known.join(F.broadcast(chosen), "i").withColumn("h", F.xxhash64("i", "t")), "quality-sample")
     rows: dict[int, list] = {}
-    cut = F.explode(F.split("t", "\n")).alias("line")
     for y in (0, 1):
-        lines = sample.where(F.col("y") == y).select(cut).select(F.substring("line", 1, LINE_BYTES).alias("line")).where(F.length("line") > 0).distinct()
+        lines = map_arrow(sample.where(F.col("y") == y).select("t"), line_pieces, T.StructType([T.StructField("line", T.StringType())])).distinct()
         rows[y] = [r.line.encode() for r in lines.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect()]
     both = set(rows[0]) & set(rows[1])
     good, bad = (_dictionary([x for x in rows[y] if x not in both]) for y in (1, 0))
