@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilespark.llm import embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, quality, queries, recompression
+from tilespark.llm import common, embedding_dedup, html_extract, line_dedup, mixing, near_dedup, outliers, packing, quality, queries, recompression
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -345,15 +345,29 @@ def plain_lines(given, least):
     return out
 
 
-@pytest.mark.parametrize("filters", [True, False])
-def test_lines(some, filters, monkeypatch):
-    if not filters:
-        monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
+@pytest.mark.parametrize("shards", [1, 2, 3, 5, 7])
+def test_lines(some, shards, monkeypatch):
+    # one row a line and step is dealt; with fewer lines a filter there are more filters
+    keys = sum(len({x for x in (t or "").split("\n")}) for _, t in rows_of(some, "doc_id", "text"))
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", max(8, -(-keys // shards)))
     out = line_dedup.drop_common_lines(some)
     same(rows_of(out, "doc_id", "n_lines", "n_dropped", "kept_text"), plain_lines(rows_of(some, "doc_id", "text"), 10))
     assert line_dedup.drop_common_lines(some.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lines", [60, 700, 500_000])
+def test_lines_that_few_documents_of_a_step_share(spark, lines, monkeypatch):
+    # lines in 9, 10 and 11 documents, far apart, in steps of 7 documents; and one line in all
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", lines)
+    monkeypatch.setattr(common, "STEP_ROWS", 7)
+    texts = ["\n".join([f"own {i}", "In All ", *(f"shared {n} {k}" for n in (9, 10, 11) for k in range(3) if i % 37 == k and i // 37 < n)]) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = line_dedup.drop_common_lines(df)
+    want = plain_lines(list(enumerate(texts)), 10)
+    same(rows_of(out, "doc_id", "n_lines", "n_dropped", "kept_text"), want)
+    assert sum(r[2] for r in want) == 600 + 3 * 10 + 3 * 11
+
+
 # ---------------------------------------------------------------- 9
 PAGE = """<html><head><title>T</title><script>if (a < b) x = "<p>no</p>";</script></head><body class=home>
 <header><h2>Site</h2></header><div id="main-menu" class="menu"><ul><li><a href=/>Home</a><li><a href=/x>X</a></ul></div>

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a local folder on a local master and an error elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tilespark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,7 +55,40 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that `materialize` wrote and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def doc_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits of id and text: rows equal in both are one document, seen several times. A null text counts as empty."""
+    i, t = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.xxhash64(i, t), F.xxhash64(t, i, F.lit(1))
+
+
+#: A key with this share of all counted rows is common: there are at most so many of them, which bounds their broadcast.
+COMMON_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, columns: list[str] | None = None) -> DataFrame:
+    """rows joined with counts (keys, n, more) of at most `total` rows, with the columns of counts that are named.
+
+    Keys of at least total / COMMON_KEYS rows, COMMON_KEYS at most, are broadcast, so the rows of a very common key stay
+    where they are; the others meet in a shuffle in which no key has more than that share.
+    """
+    columns = columns or []
+    common = F.col("n") * COMMON_KEYS >= total
+    hot = F.broadcast(counts.where(common & (F.col("n") > 1)).select(*keys, *columns))
+    rest = counts.where(~(common & (F.col("n") > 1))).select(*keys, *columns)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest.hint("merge"), keys))
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,12 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, free_name, map_arrow, materialize, replace_columns
+from .common import add_columns, doc_keys, free_name, join_counted, map_arrow, materialize, release, replace_columns, table
 
-#: Lines that one pair of filters (a shard) is made for, its bits a line and its hash functions.
+#: Lines that one pair of filters is made for, its bits a line and its hash functions.
 SHARD_LINES, BITS, PROBES = 500_000, 16, 4
-#: Most bytes of twice-seen filters that are sent to the executors; beyond it every line counts as suspected.
-FILTER_BYTES = 64 << 20
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -25,150 +21,131 @@ def line_keys(text: bytes | None) -> list[bytes]:
     return [x.strip(BLANK).lower() for x in (text or b"").split(b"\n")]
 
 
-def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
-    """Bit positions of each hash, by double hashing."""
-    with np.errstate(over="ignore"):
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        return [((h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i) * step * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)) % np.uint64(size) for i in range(PROBES)]
-
-
-def _has(filter_: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    found = np.ones(len(h), bool)
-    for p in _bits(h, size):
-        found &= (filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-    return found
+class Bloom:
+    """A Bloom filter for 64-bit hashes. One that holds what it was made for gets another beside it, so it never fills up."""
 
+    def __init__(self, lines: int):
+        self.lines, self.parts, self.room = lines, [], 0
 
-def _put(filter_: np.ndarray, h: np.ndarray, size: int) -> None:
-    for p in _bits(h, size):
-        np.bitwise_or.at(filter_, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+    def _places(self, h: np.ndarray) -> list[np.ndarray]:
+        """Places of the bits of each hash, by double hashing."""
+        with np.errstate(over="ignore"):
+            step = (h >> np.uint64(32)) | np.uint64(1)
+            return [((h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i) * step * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)) % np.uint64(self.lines * BITS) for i in range(PROBES)]
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out, places = np.zeros(len(h), bool), self._places(h) if self.parts else []
+        for part in self.parts:
+            own = np.ones(len(h), bool)
+            for p in places:
+                own &= (part[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+            out |= own
+        return out
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h % np.uint64(shards)).astype(np.int64)
+    def put(self, h: np.ndarray) -> None:
+        if not len(h):
+            return
+        if self.room < len(h):
+            self.parts.append(np.zeros(self.lines * BITS // 8 + 1, np.uint8))
+            self.room = max(self.lines, len(h))
+        self.room -= len(h)
+        for p in self._places(h):
+            np.bitwise_or.at(self.parts[-1], p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
 
-def _first_sight(docs: DataFrame, text: str, min_length: int) -> DataFrame:
-    """(h, again): the line hashes of each batch once, with whether the batch holds them in two documents."""
+FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("k1", "k2", "d1", "d2")] + [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("seen", T.IntegerType())])
 
-    def hashes(batch: pa.RecordBatch) -> dict:
-        own: list[int] = []
-        for t in batch.column(0).cast(pa.large_binary()).to_pylist():
-            own += {xxhash.xxh3_64_intdigest(k) for k in line_keys(t) if len(k.decode()) >= min_length}
-        h, n = np.unique(np.array(own, np.uint64), return_counts=True)
-        return {"h": h.view(np.int64), "again": n > 1}
 
-    return map_arrow(docs.select(F.col(f"`{text}`").alias("t")), hashes, T.StructType([T.StructField("h", T.LongType()), T.StructField("again", T.BooleanType())]))
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_length: int) -> DataFrame:
+    """(k1, k2, d1, d2, at, seen): 128 bits of each line key of each document, 128 bits of the document, line numbers.
 
+    seen: 0 if no other document of the step holds the line, else 1 for the first of them and 2 for the others.
+    """
 
-def _twice_filters(seen: DataFrame, shards: int) -> DataFrame:
-    """(shard, size, bits): the twice-seen filter of every shard, which also held a once-seen one while it was built."""
-    size = SHARD_LINES * BITS
+    def lines(batch: pa.RecordBatch) -> dict:
+        rows, keys, at, seen = [], [], [], []
+        met: dict[bytes, int] = {}
+        for row, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
+            own: dict[bytes, list[int]] = {}
+            for number, k in enumerate(line_keys(text)):
+                if len(k) >= min_length and (min_length < 2 or len(k.decode()) >= min_length):
+                    own.setdefault(k, []).append(number)
+            for k, numbers in own.items():
+                digest = xxhash.xxh3_128_digest(k)
+                if digest in met:
+                    if met[digest] >= 0:
+                        seen[met[digest]], met[digest] = 1, -1
+                    seen.append(2)
+                else:
+                    met[digest] = len(seen)
+                    seen.append(0)
+                rows.append(row)
+                keys.append(digest)
+                at.append(numbers)
+        both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        take = pa.array(rows, pa.int64())
+        return {"k1": both[:, 0], "k2": both[:, 1], "d1": batch.column(0).take(take), "d2": batch.column(1).take(take), "at": at, "seen": seen}
+
+    d1, d2 = doc_keys(id_col, text_col)
+    return map_arrow(docs.select(d1.alias("d1"), d2.alias("d2"), F.col(f"`{text_col}`").alias("t")), lines, FOUND)
+
+
+def _suspected(dealt: DataFrame, parts: int) -> DataFrame:
+    """The rows whose line the twice-seen filter of their partition suspects: of (k1, k2, d1, d2, at, seen), dealt by line.
+
+    All rows of a line meet in one task, which reads them once: a line that the once-seen filter holds goes into the
+    twice-seen one. Rows seen before or again pass at once; the first ones wait until all rows have been read, and so
+    a task keeps no more than one row a line.
+    """
+    lines = SHARD_LINES
 
-    def build(batches):
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, list[np.ndarray]] = {}
+    def sieve(batches):
+        once, twice, waiting = Bloom(lines), Bloom(lines), []
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
-            again = batch.column(1).to_numpy(zero_copy_only=False)
-            shard = _shard(h, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                s, own = int(shard[part[0]]), h[part]
-                distinct, n = np.unique(own, return_counts=True)
-                more = np.isin(distinct, own[again[part]]) | (n > 1)
-                f = once.setdefault(s, np.zeros(size // 8 + 1, np.uint8))
-                more |= _has(f, distinct, size)
-                _put(f, distinct[~more], size)
-                _put(f, distinct[more], size)
-                if more.any():
-                    known = twice.setdefault(s, [])
-                    known.append(distinct[more])
-                    if len(known) > 32:
-                        known[:] = [np.unique(np.concatenate(known))]
-        rows = []
-        for s, parts in twice.items():
-            own = np.unique(np.concatenate(parts))
-            bits = max(64, len(own) * BITS)
-            f = np.zeros(bits // 8 + 1, np.uint8)
-            _put(f, own, bits)
-            rows.append((s, bits, zlib.compress(f.tobytes(), 1)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["shard", "size", "bits"])
-
-    # twice-seen filters are sized by what they hold, so they stay small where few lines repeat
-    dealt = seen.repartition(shards, F.expr(f"pmod(h, {shards})"))
-    return dealt.mapInArrow(build, "shard long, size long, bits binary")
+            again = batch.column(5).to_numpy() > 0
+            distinct, back, n = np.unique(h, return_inverse=True, return_counts=True)
+            more = (n > 1) | once.has(distinct)
+            more |= np.bincount(back, again, len(distinct)) > 0
+            once.put(distinct[~more])
+            twice.put(distinct[more])
+            passed = twice.has(h)
+            yield batch.filter(pa.array(passed))
+            if not passed.all():
+                waiting.append(batch.filter(pa.array(~passed)))
+        for batch in waiting:
+            yield batch.filter(pa.array(twice.has(batch.column(0).to_numpy().view(np.uint64))))
+
+    return dealt.repartition(parts, "k1").mapInArrow(sieve, FOUND)
 
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_length: int = 1) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped: lines whose key at least min_docs rows hold are gone everywhere.
 
-    Method: line hashes pass two Bloom filters by shard, once seen and twice seen. Only lines that the twice-seen
-    filters suspect leave their task, as 128-bit keys, for an exact count of documents. Where the filters would
-    exceed FILTER_BYTES, every line is suspected and the exact count does all the work.
+    Method: hashes of lines are dealt, at most once a line and step of a thousand documents, to tasks that each hold a
+    once-seen and a twice-seen Bloom filter of bounded size, about SHARD_LINES hashes a task. Only lines that the
+    twice-seen filter suspects, and those that one step met in two documents, go on to the exact count of documents by
+    128-bit keys. Filters stay in their task, whatever the size of the input. A very common line is counted before the
+    shuffle, and its rows are not brought together.
 
     Cases: a null or empty text is one empty line, of no key when min_length >= 1, and gives kept_text ''. Each row
     counts as a document, repeated rows and null ids too; rows equal in id and text get equal results. An empty
     table gives an empty result. Input columns named like the three added ones are replaced.
     """
-    spark = docs.sparkSession
     docs = replace_columns(docs, ["kept_text", "n_lines", "n_dropped"])
-    seen = materialize(_first_sight(docs, text_col, min_length), "lines-seen")
-    lines = seen.count()
-    shards = max(1, -(-lines // SHARD_LINES))
-    filters = materialize(_twice_filters(seen, shards), "lines-twice")
-    total = filters.agg(F.sum(F.col("size") / 8)).first()[0] or 0
-    sieve = None
-    if total <= FILTER_BYTES:
-        sieve = spark.sparkContext.broadcast({r.shard: (r.size, r.bits) for r in filters.toLocalIterator()})
-
-    opened: dict[int, tuple[int, np.ndarray]] = {}
-
-    def suspected(h: np.ndarray) -> np.ndarray:
-        if sieve is None:
-            return np.ones(len(h), bool)
-        out, shard = np.zeros(len(h), bool), _shard(h, shards)
-        for s in np.unique(shard):
-            if int(s) not in sieve.value:
-                continue
-            if int(s) not in opened:
-                size, packed = sieve.value[int(s)]
-                opened[int(s)] = size, np.frombuffer(zlib.decompress(packed), np.uint8)
-            size, f = opened[int(s)]
-            own = shard == s
-            out[own] = _has(f, h[own], size)
-        return out
-
-    def suspects(batch: pa.RecordBatch) -> dict:
-        rows: list[int] = []
-        number: list[int] = []
-        keys: list[bytes] = []
-        for i, t in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
-            for j, k in enumerate(line_keys(t)):
-                if len(k) >= min_length and len(k.decode()) >= min_length:
-                    rows.append(i)
-                    number.append(j)
-                    keys.append(k)
-        h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-        found = np.flatnonzero(suspected(h))
-        at: dict[tuple[int, bytes], list[int]] = {}
-        for x in found:
-            at.setdefault((rows[x], keys[x]), []).append(number[x])
-        row = np.array([r for r, _ in at], np.int64)
-        both = np.array([divmod(xxhash.xxh3_128_intdigest(k), 1 << 64) for _, k in at], np.uint64).reshape(-1, 2).view(np.int64)
-        take = pa.array(row)
-        return {"i": batch.column(0).take(take), "t": batch.column(1).take(take), "k1": both[:, 0], "k2": both[:, 1], "at": list(at.values())}
-
-    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("t"), F.col(f"`{text_col}`").alias("x"))
-    fields = [T.StructField("i", T.StringType()), T.StructField("t", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType()))]
-    found = materialize(map_arrow(keyed, suspects, T.StructType(fields)), "lines-suspected")
-    common = materialize(found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("k1", "k2"), "lines-common")
-    i, t, at = (free_name(docs, f"line_dedup_{x}") for x in ("i", "t", "at"))
-    gone = found.join(common, ["k1", "k2"]).select(F.col("i").alias(i), F.col("t").alias(t), F.explode("at").alias("x")).distinct()
-    gone = materialize(gone.groupBy(i, t).agg(F.collect_list("x").alias(at)), "lines-gone")
-    with_keys = docs.withColumns({i: F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), t: F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))})
+    every = materialize(_occurrences(docs, id_col, text_col, min_length), "lines-seen")
+    dealt, direct = every.where("seen < 2"), every.where("seen = 2")
+    parts = max(1, -(-dealt.count() // SHARD_LINES))
+    found = materialize(_suspected(dealt, parts).unionByName(direct).drop("seen"), "lines-suspected")
+    release(every)
+    common = materialize(found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "lines-common")
+    d1, d2, at = (free_name(docs, f"line_dedup_{x}") for x in ("d1", "d2", "at"))
+    rows = common.agg(F.sum("n")).first()[0] or 0
+    gone = join_counted(found, common, ["k1", "k2"], rows).groupBy(F.col("d1").alias(d1), F.col("d2").alias(d2)).agg(F.flatten(F.collect_set("at")).alias(at))
+    gone = materialize(gone, "lines-gone")
+    release(found, common)
+    keys = doc_keys(id_col, text_col)
+    with_keys = docs.withColumns({d1: keys[0], d2: keys[1]})
 
     def cut(batch: pa.RecordBatch) -> dict:
         texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary()).to_pylist()
@@ -183,12 +160,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return {"kept_text": pa.array(kept, pa.string()), "n_lines": n_lines, "n_dropped": n_dropped}
 
     added = [T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    return add_columns(with_keys.join(gone.hint("merge"), [i, t], "left"), cut, added, drop=(i, t, at))
+    return add_columns(with_keys.join(gone.hint("merge"), [d1, d2], "left"), cut, added, drop=(d1, d2, at))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
