@@ -60,8 +60,11 @@ def quantize(blocks: DataFrame, chroma: Column | None = None, column: str = "blo
 
 
 def zigzag(blocks: DataFrame, column: str = "block", to: str = "zz") -> DataFrame:
-    """blocks with the column in zig-zag order."""
-    return blocks.withColumn(to, F.transform(F.array(*[F.lit(p) for p in ZIGZAG]), lambda p: F.get(F.col(column), p))).drop(column)
+    """blocks with the column in zig-zag order.
+
+    The column is named once a place, so the optimizer keeps what makes it apart and computes that once a block.
+    """
+    return blocks.withColumn(to, F.array(*[F.get(F.col(column), F.lit(p)) for p in ZIGZAG])).drop(column)
 
 
 def scan_order(blocks: DataFrame, columns: Column, sx: int, sy: int) -> DataFrame:

@@ -66,7 +66,7 @@ def token_stream(zz_blocks: DataFrame, sx: int, sy: int) -> tuple[DataFrame, Dat
     """
     place = zz_blocks.withColumns({"comp_seq": F.when(F.col("comp") == 0, F.col("k")).otherwise(F.lit(sx * sy - 1) + F.col("comp")), "scan": F.when(F.col("comp") == 0, F.col("mcu") * (sx * sy) + F.col("k")).otherwise(F.col("mcu"))})
     side = F.when(F.col("comp") == 0, "y").otherwise("c")
-    dc = tokens.dc_delta(place.withColumn("dc", F.get("zz", 0)), ["image_id", "comp"], "scan")
+    dc = tokens.dc_delta(place.select("image_id", "comp", "mcu", "comp_seq", "scan", F.get("zz", F.lit(0)).alias("dc")), ["image_id", "comp"], "scan")
     dc = tokens.dc_symbols(dc).select("image_id", "mcu", "comp_seq", F.lit(0).alias("tok_seq"), F.concat(side, F.lit("_dc")).alias("table_id"), "symbol", F.col("bits").alias("vbits"), F.col("nbits").alias("vlen"), F.lit(False).alias("is_eob"))
     ac = tokens.ac_symbols(tokens.ac_runs(place.select("image_id", "comp", "mcu", "comp_seq", "zz")))
     ac = ac.select("image_id", "mcu", "comp_seq", "tok_seq", F.concat(side, F.lit("_ac")).alias("table_id"), "symbol", F.col("bits").alias("vbits"), F.col("nbits").alias("vlen"), (F.col("symbol") == 0).alias("is_eob"))

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where the session has none (tests, one machine) a local folder is made.
+    Only on a local master without one (tests, one machine) a local folder is made; elsewhere that is an error.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilespark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tilespark-"))
     return df.checkpoint(eager=True)

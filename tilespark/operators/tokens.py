@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import category, value_bits
+from .settle import settle
 
 #: Blocks of one scan that a window sees at once; chunks hand their last value on.
 CHUNK = 4096
@@ -16,10 +17,10 @@ def dc_delta(blocks: DataFrame, part: list[str], order: str, column: str = "dc")
     """blocks with diff: the first value of a scan, then each value less the one before it.
 
     Two levels: windows run within chunks of CHUNK scan numbers, and only the last value of every chunk crosses
-    over, so one long scan doesn't come together in one task.
+    over, so one long scan doesn't come together in one task. The blocks are settled, as both levels read them.
     """
     chunk = F.floor(F.col(order) / CHUNK)
-    keyed = blocks.withColumn("_chunk", chunk)
+    keyed = settle(blocks.withColumn("_chunk", chunk))
     inner = W.partitionBy(*part, "_chunk").orderBy(order)
     ends = keyed.groupBy(*part, "_chunk").agg(F.max_by(column, order).alias("_end"))
     over = W.partitionBy(*part).orderBy("_chunk")
@@ -31,21 +32,22 @@ def dc_delta(blocks: DataFrame, part: list[str], order: str, column: str = "dc")
 def ac_runs(blocks: DataFrame, zz: str = "zz") -> DataFrame:
     """blocks with tok_seq, run, value: each non-zero coefficient after the first with the zeros before it.
 
-    Sixteen zeros in a row are (15, 0); zeros up to the end are one (0, 0). A block is an array, so its islands are
-    found by folding over it and nothing is shuffled.
+    Sixteen zeros in a row are (15, 0); zeros up to the end are one (0, 0). A block is an array: the places of its
+    non-zero values are listed once, and each run lies between neighbours, so nothing is shuffled.
     """
-    start = F.struct(F.lit(0).alias("zeros"), F.array().cast("array<struct<run:int,value:int>>").alias("out"))
+    pair = lambda r, x: F.struct(r.cast("int").alias("run"), x.cast("int").alias("value"))
+    kept = [c for c in blocks.columns if c != zz]
+    places = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda p: F.get(F.col(zz), p) != 0)
+    found = blocks.select(*kept, zz, places.alias("_at"))
 
-    def step(acc, v):
-        pair = lambda r, x: F.struct(r.cast("int").alias("run"), x.cast("int").alias("value"))
-        skips = F.array_repeat(pair(F.lit(15), F.lit(0)), F.floor(acc["zeros"] / 16).cast("int"))
-        full = F.concat(acc["out"], skips, F.array(pair(acc["zeros"] % 16, v)))
-        return F.when(v == 0, F.struct((acc["zeros"] + 1).alias("zeros"), acc["out"].alias("out"))).otherwise(F.struct(F.lit(0).alias("zeros"), full.alias("out")))
+    def island(p, i):
+        zeros = p - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_at"), i - 1)) - 1
+        return F.concat(F.array_repeat(pair(F.lit(15), F.lit(0)), F.floor(zeros / 16).cast("int")), F.array(pair(zeros % 16, F.get(F.col(zz), p))))
 
-    end = F.array(F.struct(F.lit(0).alias("run"), F.lit(0).alias("value")))
-    folded = F.aggregate(F.slice(zz, 2, 63), start, step, lambda a: F.when(a["zeros"] > 0, F.concat(a["out"], end)).otherwise(a["out"]))
-    kept = [c for c in blocks.columns if c != zz]
-    return blocks.select(*kept, F.posexplode(folded).alias("_pos", "_pair")).select(*kept, (F.col("_pos") + 1).alias("tok_seq"), F.col("_pair.run").alias("run"), F.col("_pair.value").alias("value"))
+    none = F.array().cast("array<struct<run:int,value:int>>")
+    end = F.when(F.coalesce(F.get(F.col("_at"), F.size("_at") - 1), F.lit(0)) < 63, F.array(pair(F.lit(0), F.lit(0)))).otherwise(none)
+    every = F.concat(F.flatten(F.transform("_at", island)), end)
+    return found.select(*kept, F.posexplode(every).alias("_pos", "_pair")).select(*kept, (F.col("_pos") + 1).alias("tok_seq"), F.col("_pair.run").alias("run"), F.col("_pair.value").alias("value"))
 
 
 def ac_symbols(runs: DataFrame) -> DataFrame:

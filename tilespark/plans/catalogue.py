@@ -78,6 +78,12 @@ def gradient_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.gradient_image(spark, 216, 384)
 
 
+@query("gradient_rows", "SELECT CAST(y AS INT) AS y, count(*) AS n, CAST(sum((x + 8 * y) % 256) AS BIGINT) AS total, CAST(sum(x * ((x + 8 * y) % 256)) AS BIGINT) AS weighted FROM range(2160) a(y), range(3840) b(x) GROUP BY y")
+def gradient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient in its full size, two checksums a row."""
+    return synthetic.gradient_image(spark).groupBy("y").agg(F.count("*").alias("n"), F.sum("m").alias("total"), F.sum(F.col("x") * F.col("m")).alias("weighted"))
+
+
 @query(
     "gradient_lines",
     """
@@ -311,17 +317,51 @@ def huffman_code_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.agg(F.sum(F.col("freq") * F.col("len")).alias("cost"))
 
 
-@query("huffman_codes")
+def _codes_sql(key: str = "") -> str:
+    """c: codes of a histogram f (key, symbol, freq) of a depth of 16 at most: trees are lists of (sum, least symbol, symbols)."""
+    k = f"{key}, " if key else ""
+    part = f"PARTITION BY {key} " if key else ""
+    group = f" GROUP BY {key}" if key else ""
+    return f"""
+m AS (SELECT {k}list_sort(list({{'f': CAST(freq AS HUGEINT), 's': symbol, 'y': [symbol]}})) AS h, CAST([] AS INT[]) AS merged FROM f{group}
+      UNION ALL SELECT {k}list_sort(list_concat(h[3:], [{{'f': h[1].f + h[2].f, 's': least(h[1].s, h[2].s), 'y': list_concat(h[1].y, h[2].y)}}])), list_concat(h[1].y, h[2].y) FROM m WHERE len(h) > 1),
+d AS (SELECT {k}symbol, count(*) AS len FROM (SELECT {k}unnest(merged) AS symbol FROM m) GROUP BY ALL),
+p AS (SELECT *, coalesce(sum(1 << (16 - len)) OVER ({part}ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, row_number() OVER ({part}ORDER BY len DESC, symbol DESC) = 1 AS last FROM d),
+c AS (SELECT {k}symbol, freq, CAST(len + CASE WHEN last THEN 1 ELSE 0 END AS INT) AS len, (CAST(taken AS BIGINT) >> (16 - len)) << CASE WHEN last THEN 1 ELSE 0 END AS code FROM p JOIN f USING ({k}symbol))"""
+
+
+_CODES = f"WITH RECURSIVE {_V}, f AS (SELECT symbol, count(*) AS freq FROM v GROUP BY symbol), {_codes_sql()}"
+
+
+@query("huffman_codes", f"{_CODES} SELECT * FROM c")
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_codes(tokens.symbol_frequencies(_values(spark, sf_dir), []), [])
 
 
-@query("huffman_codes_by_type")
+@query("huffman_kraft", f"{_CODES} SELECT sum(1.0 / (1 << len)) AS kraft, count(*) AS n FROM c")
+def huffman_kraft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The space that the codes take: 1 less half of the last one, which is lengthened."""
+    return huffman_codes(spark, sf_dir).agg(F.sum(F.pow(F.lit(2.0), -F.col("len"))).alias("kraft"), F.count("*").alias("n"))
+
+
+@query("huffman_codes_by_type", f"WITH RECURSIVE {_V}, f AS (SELECT event_type, symbol, count(*) AS freq FROM v GROUP BY ALL), {_codes_sql('event_type')} SELECT * FROM c")
 def huffman_codes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_codes(tokens.symbol_frequencies(_values(spark, sf_dir), ["event_type"]), ["event_type"])
 
 
-@query("depth_limited_lengths")
+@query(
+    "depth_limited_lengths",
+    """
+WITH RECURSIVE s AS (SELECT 23 AS level, list_transform(range(1, 24), lambda i: CASE WHEN i = 23 THEN 2 ELSE 1 END) AS c
+  UNION ALL SELECT CASE WHEN c[level] > 0 THEN level ELSE level - 1 END, CASE WHEN c[level] > 0 THEN list_transform(range(1, 24), lambda i: c[i]
+      - CASE WHEN i = level THEN 2 ELSE 0 END + CASE WHEN i = level - 1 THEN 1 ELSE 0 END - CASE WHEN i = above THEN 1 ELSE 0 END + CASE WHEN i = above + 1 THEN 2 ELSE 0 END) ELSE c END
+  FROM (SELECT level, c, list_max(list_filter(range(1, level - 1), lambda i: c[i] > 0)) AS above FROM s WHERE level > 15)),
+n AS (SELECT unnest(range(1, 24)) AS len, unnest(c) AS n FROM s WHERE level = 15),
+l AS (SELECT len, row_number() OVER (ORDER BY len) AS r FROM (SELECT len, unnest(range(n)) FROM n)),
+o AS (SELECT CASE WHEN x < 22 THEN 23 - x ELSE x - 22 END AS symbol, x + 1 AS r FROM range(24) t(x))
+SELECT CAST(symbol AS INT) AS symbol, CAST(len + CASE WHEN row_number() OVER (ORDER BY len DESC, symbol DESC) = 1 THEN 1 ELSE 0 END AS INT) AS len FROM o JOIN l USING (r)
+""",
+)
 def depth_limited_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies that double give the deepest tree."""
     freqs = spark.range(24).select(F.col("id").cast("int").alias("symbol"), F.expr("shiftleft(1L, cast(id as int))").alias("freq"))
@@ -489,7 +529,7 @@ def image_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.image_text(synthetic.empty_image(spark, 4, 3, 255)[1], pixels.unpivot_planes(synthetic.colour_image(spark, 3, 4)))
 
 
-@query("code_dump")
+@query("code_dump", f"{_CODES} SELECT symbol, printf('%X', symbol) AS hex, lpad(bin(code), len, '0') AS bits FROM c")
 def code_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.code_lines(huffman_codes(spark, sf_dir), [])
 
