@@ -212,23 +212,27 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the smallest node of each.
 
     Rounds of hooking: every node sends the least label it sees to its neighbours and to its own label, then
-    labels jump. Every aggregate is a minimum, so a node with very many links is combined before the shuffle.
+    labels jump. Every aggregate is a minimum, so a node with very many links is combined before the shuffle, and
+    joins count their keys first, so it isn't brought together in one task either.
     """
-    spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, f"{tag}-edges")
+    total = both.count()
     least = F.least("node", "m")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", least.alias("label"), F.col("node").alias("old")), f"{tag}-labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("n")).select("node", "n", least.alias("label"), F.col("node").alias("old")), f"{tag}-labels")
+    nodes = labels.count()
     while not labels.where("label <> old").isEmpty():
         now = labels.select("node", "label")
-        seen = both.join(now.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        seen = join_counted(both, labels.select(F.col("node").alias("b"), "n", "label"), ["b"], total, ["label"]).select(F.col("a").alias("node"), "label")
         near = seen.union(now).groupBy("node").agg(F.min("label").alias("least"))
         # what a node sees is also told to the node that its label names
         told = near.join(now, "node").select(F.col("label").alias("node"), F.col("least").alias("label"))
         merged = materialize(near.select("node", F.col("least").alias("label")).union(told).groupBy("node").agg(F.min("label").alias("label")), f"{tag}-merged")
-        up = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = merged.join(up, "label").select("node", F.least("label", "up").alias("label")).join(now.select("node", F.col("label").alias("old")), "node")
-        labels = materialize(new, f"{tag}-labels")
+        up = merged.groupBy("label").agg(F.count("*").alias("n")).join(merged.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
+        jumped = join_counted(merged, up, ["label"], nodes, ["up"]).select("node", F.least("label", "up").alias("label"))
+        new = materialize(jumped.join(labels.select("node", "n", F.col("label").alias("old")), "node"), f"{tag}-labels")
+        release(labels, merged)
+        labels = new
     return labels.select("node", F.col("label").alias("component"))
 
 

@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, map_arrow, materialize, range_hashes, shingle_sets, table
-
-#: Coordinates of a signature, and matches that a pair needs to be looked at: 4 standard deviations below what a
-#: pair of similarity 0.8 has on average (51.2), so 1 in 20,000 of such pairs is missed.
-COORDS, MATCHES = 64, 38
-#: Two signatures with MATCHES equal coordinates share one among any PREFIX of them.
-PREFIX = COORDS - MATCHES + 1
-#: Rarest postings of a document that meet their list's leader, and leaders that it is compared with, at first.
-STAR, LEADERS = 10, 6
-_A = np.random.default_rng(7).integers(1, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(8).integers(0, 1 << 63, COORDS, np.uint64)
-
-
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(i, t, c, n, sig): id, hash of the text, class of equal shingle sets (null without words), set size, signature."""
+from .common import components, free_name, join_counted, map_arrow, materialize, mix, range_hashes, release, shingle_sets, table
+
+#: Coordinates of a signature, and most minima that one of them is made of.
+COORDS, MOST_MINIMA = 48, 4
+#: Most pairs at the wanted similarity that the count of matches may lose.
+LOSS = 1e-6
+_A = np.random.default_rng(7).integers(1, 1 << 63, COORDS * MOST_MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = np.random.default_rng(8).integers(0, 1 << 63, COORDS * MOST_MINIMA, np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
+#: Pairs of one class that a copy of its text serves.
+PAIRS = 200
+
+
+def plan(percent: int) -> tuple[int, int]:
+    """(minima of a coordinate, matches that a pair needs): the most of both at which a pair of the wanted similarity,
+    which matches in each coordinate with probability similarity^minima, is lost with probability LOSS at most."""
+    for minima in range(MOST_MINIMA, 0, -1):
+        p = (percent / 100) ** minima
+        lost, matches = 0.0, 0
+        while matches < COORDS and (lost := lost + math.comb(COORDS, matches) * p**matches * (1 - p) ** (COORDS - matches)) <= LOSS:
+            matches += 1
+        if matches:
+            return minima, matches
+    raise ValueError(f"{COORDS} coordinates don't tell pairs of similarity {percent} % apart")
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, minima: int) -> DataFrame:
+    """(i, t, c, n, sig): id, hash of the text, class of equal shingle sets (null without words), set size, signature.
+
+    sig: a 64-bit name of each coordinate-value pair; a coordinate's value is several minima together, so that texts
+    that only share common words agree in next to none.
+    """
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
 
     def sign(batch: pa.RecordBatch) -> dict:
         rows = batch.num_rows
-        c, n, sig = np.zeros(rows, np.uint64), np.zeros(rows, np.int64), np.zeros((rows, COORDS), np.uint32)
+        c, n, sig = np.zeros(rows, np.uint64), np.zeros(rows, np.int64), np.zeros((rows, COORDS), np.uint64)
         for row, end, values, first in shingle_sets(batch.column(2), size):
             counts = np.diff(first)
             n[row:end] = counts
@@ -37,34 +56,55 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 at = first[:-1][has]
                 with np.errstate(over="ignore"):
                     for k in range(COORDS):
-                        sig[row + has, k] = np.minimum.reduceat((values * _A[k] + _B[k]) >> np.uint64(32), at)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * COORDS), pa.array(sig.reshape(-1).view(np.int32)))
+                        name = np.full(len(has), k + 1, np.uint64)
+                        for j in range(k * minima, (k + 1) * minima):
+                            name = mix(name * _STEP + np.minimum.reduceat((values * _A[j] + _B[j]) >> np.uint64(32), at))
+                        sig[row + has, k] = name
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * COORDS), pa.array(sig.reshape(-1).view(np.int64)))
         return {"i": batch.column(0), "t": batch.column(1), "c": pa.array(c.view(np.int64), mask=n == 0), "n": n, "sig": flat}
 
-    fields = [T.StructField("i", kind), T.StructField("t", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("i", kind), T.StructField("t", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))]
     own = docs.select(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(f"`{text_col}`").alias("x"))
     return map_arrow(own, sign, T.StructType(fields))
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """(c, v, rank, known): the postings of each class under its rarest coordinate values, as far as they can meet
-    another; known is how often all its values are posted, which is most for the text that a group's copies stem from.
+def _postings(classes: DataFrame, matches: int) -> DataFrame:
+    """(c, v, known): the postings of each class under its rarest coordinate-value pairs, as far as they can meet another.
 
-    A value that only one class has meets nothing but takes a place of the prefix, so most documents post nothing.
+    Of the lists that a class shares with others, a class that matches it in enough of them is met in one of the rarest
+    size - matches + 1; the longest matches - 1 are skipped, and looked into only for pairs that were met. A class that
+    shares fewer lists than that matches no other: most documents end here. known: lengths of all its lists, which is
+    most for the text that a group's copies stem from.
     """
-    posted = classes.select("c", F.posexplode("sig").alias("k", "x")).select("c", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("x").cast("long").bitwiseAND(0xFFFFFFFF)).alias("v"))
-    often = materialize(posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "near-often")
-    shared = posted.join(often.hint("merge"), "v").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("p"))
-    free = F.greatest(F.lit(0), F.lit(PREFIX) - (COORDS - F.size("p")))
-    return materialize(shared.select("c", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("known"), F.posexplode(F.slice("p", F.lit(1), free)).alias("rank", "x")).select("c", F.col("x.v").alias("v"), "rank", "known"), "near-prefixes")
-
-
-def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, same): the pairs whose set sizes allow the similarity and whose signatures match often enough."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    return both.withColumn("same", same).where(F.col("same") >= MATCHES).select("a", "b", "same")
+    posted = classes.select("c", F.explode("sig").alias("v"))
+    often = materialize(posted.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "near-often")
+    shared = join_counted(posted, often, ["v"], COORDS * classes.count(), ["n"]).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("p")).where(F.size("p") >= matches)
+    rarest = F.explode(F.slice("p", F.lit(1), F.size("p") - (matches - 1)))
+    known = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    out = materialize(shared.select("c", known.alias("known"), rarest.alias("x")).select("c", "x.v", "known"), "near-postings")
+    release(often)
+    return out
+
+
+def _alike(pairs: DataFrame, active: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b): the pairs whose set sizes allow the similarity and whose lists coincide often enough."""
+    total = pairs.count()
+    for x in "ab":  # one class may be the leader of very many
+        known = active.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+        counted = pairs.groupBy(x).agg(F.count("*").alias("n")).join(known, x)
+        pairs = join_counted(pairs, counted, [x], total, [f"n{x}", f"s{x}"])
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.where(fits & (F.size(F.array_intersect("sa", "sb")) >= matches)).select("a", "b")
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, x: str, other: str, total: int) -> DataFrame:
+    """pairs with the text of class x, which is dealt in several copies where the class has many pairs."""
+    counts = pairs.groupBy(x).agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / PAIRS).cast("int")
+    salted = join_counted(pairs, counts.withColumn("parts", parts), [x], total, ["parts"]).withColumn("salt", F.pmod(F.hash(other), "parts")).drop("parts")
+    named = texts.select(F.col("c").alias(x), F.col("x").alias(f"x{x}"))
+    copies = counts.join(named, x).select(x, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), f"x{x}")
+    return salted.join(copies.hint("merge"), [x, "salt"]).drop("salt")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -73,10 +113,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     def verify(batch: pa.RecordBatch) -> dict:
         sets = []
         for side in (2, 3):
-            own: list[np.ndarray] = []
-            for _, _, values, first in shingle_sets(batch.column(side), size):
+            coded, own = batch.column(side).dictionary_encode(), []
+            for _, _, values, first in shingle_sets(coded.dictionary, size):
                 own += [values[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-            sets.append(own)
+            sets.append([own[i] for i in coded.indices.to_pylist()])
         good = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(*sets)):
             shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -84,88 +124,100 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
         take = pa.array(np.flatnonzero(good))
         return {"a": batch.column(0).take(take), "b": batch.column(1).take(take)}
 
-    side = lambda x: texts.select(F.col("c").alias(x), F.col("x").alias(f"x{x}"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb")
+    total = pairs.count()
+    rows = _with_text(_with_text(pairs, texts, "a", "b", total), texts, "b", "a", total).select("a", "b", "xa", "xb")
     return map_arrow(rows, verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def _rare_pairs(apart: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): pairs of classes (c, g, n) of different components g that may have the similarity, by their full sets.
+    """(a, b): pairs of classes (c, w, g, n) of one cluster w, but of different components g, that may have the similarity.
 
     Two such sets share a shingle among the rarest of each: of n, all but percent of them, plus one. Counts are taken
-    among the given classes; a shingle that only one has takes a place of its prefix and meets nothing. The place of
-    the first shared shingle bounds what can be shared from there on, which drops most pairs that share a common one.
+    within the cluster; a shingle that only one of its classes has takes a place of the prefix and meets nothing, so a
+    class that differs from all others by more than the similarity allows meets none. The place of the first shared
+    shingle bounds what can be shared from there on, which drops most pairs that share a common one.
     """
 
     def spread(batch: pa.RecordBatch) -> dict:
-        c, s = [], []
-        for row, end, values, first in shingle_sets(batch.column(1), size):
-            c.append(np.repeat(np.arange(row, end), np.diff(first)))
+        rows, s = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for row, end, values, first in shingle_sets(batch.column(2), size):
+            rows.append(np.repeat(np.arange(row, end), np.diff(first)))
             s.append(values)
-        return {"c": batch.column(0).take(pa.array(np.concatenate(c))), "s": np.concatenate(s).view(np.int64)}
+        take = pa.array(np.concatenate(rows))
+        return {"w": batch.column(0).take(take), "c": batch.column(1).take(take), "s": np.concatenate(s).view(np.int64)}
 
-    held = map_arrow(texts.select("c", "x"), spread, T.StructType([T.StructField("c", T.LongType()), T.StructField("s", T.LongType())]))
-    often = materialize(held.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "near-shingles")
-    ranked = held.join(often.hint("merge"), "s").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("p")).join(apart, "c")
+    held = materialize(map_arrow(apart.select("c", "w").join(texts, "c").select("w", "c", "x"), spread, T.StructType([T.StructField(k, T.LongType()) for k in "wcs"])), "near-held")
+    often = materialize(held.groupBy("w", "s").agg(F.count("*").alias("n")).where("n > 1"), "near-shingles")
+    shared = join_counted(held, often, ["w", "s"], held.count(), ["n"])
+    ranked = shared.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("p")).join(apart, "c")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     lone = (F.col("n") - F.size("p")).cast("int")
-    posts = ranked.select("c", "g", "n", lone.alias("lone"), F.posexplode(F.slice("p", F.lit(1), F.greatest(F.lit(0), (prefix - lone).cast("int")))).alias("i", "x"))
-    posts = materialize(posts.select("c", "g", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("lone") - F.col("i")).alias("rest")), "near-rare")
-    x, y = (posts.select("s", F.col("c").alias(k), F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
-    fits = (x["ga"] < y["gb"]) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("ra", "rb") * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    pairs = x.join(y.hint("merge"), (x["s"] == y["s"]) & fits)
+    posts = ranked.select("c", "w", "g", "n", lone.alias("lone"), F.posexplode(F.slice("p", F.lit(1), F.greatest(F.lit(0), (prefix - lone).cast("int")))).alias("i", "x"))
+    posts = materialize(posts.select("c", "w", "g", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("lone") - F.col("i")).alias("rest")), "near-rare")
+    release(held, often)
+    x, y = (posts.select("w", "s", F.col("c").alias(k), F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
+    fits = (F.col("ga") < F.col("gb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("ra", "rb") * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    pairs = x.join(y.withColumnsRenamed({"w": "wb", "s": "sb"}).hint("merge"), (F.col("w") == F.col("wb")) & (F.col("s") == F.col("sb")) & fits)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row, and text_hash to tell rows of one id apart.
 
-    Rows with equal shingle sets are one class. Classes are posted under every coordinate-value pair of their
-    signature; a prefix of the rarest postings is enough to meet every class that matches MATCHES times. First each
-    class meets only the best-known members of its posting lists, which joins the members of a large group without pairing
-    them. Classes of lists that still hold several components then meet by the rarest shingles of their full sets. All
-    pairs are confirmed on their full sets. Links that are never looked at join what is joined already.
+    Rows with equal shingle sets are one class. Classes are posted under every coordinate-value pair of their signature;
+    a pair of classes is looked at if it meets in one of its rarest lists and coincides in at least as many lists as
+    `plan` says, which loses a pair at exactly the similarity with probability LOSS. First each class meets the leaders
+    of its lists, their best-known members, which joins the members of a large group without pairing them. Classes of
+    lists that still hold several components then meet by the rarest shingles of their full sets, counted within the
+    cluster of all that leaders connect. All pairs are confirmed on their full sets. Links that are never looked at join
+    what is joined already. A class, list or leader of very many rows is counted first and broadcast or dealt in parts.
 
     Cases: null and empty texts have an empty set, link with nothing and are kept; texts of fewer words than `size`
     are one shingle; null ids take part and count as larger than any id; repeated rows share a class and, with equal
     ids, are all kept if one is; an empty table gives an empty result; other columns are ignored.
     """
-    rows = materialize(signatures(docs, id_col, text_col, size), "near-rows")
-    classes = materialize(rows.where("c is not null").groupBy("c").agg(F.min("i").alias("least"), F.min(F.struct("i", "t")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
-    posts = _prefixes(classes)
-    star = posts.where(F.col("rank") < STAR)
-    lead = materialize(star.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.count("*").alias("m")).where("m > 1").select("v", "b"), "near-leaders")
-    first = star.join(lead.hint("merge"), "v").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
-    best = _alike(first, classes, percent).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "b")), False), 1, LEADERS).alias("x")).select("a", F.explode("x").alias("x"))
-    tested = materialize(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "near-pairs")
-
+    minima, matches = plan(percent)
+    rows = materialize(signatures(docs, id_col, text_col, size, minima), "near-rows")
+    least = F.min("i").alias("least")
+    classes = materialize(rows.where("c is not null").groupBy("c").agg(least, F.min(F.struct("i", "t")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("m"), F.first("sig").alias("sig")), "near-classes")
+    posts = _postings(classes, matches)
+    n_posts = posts.count()
+    active = materialize(posts.select("c").distinct().join(classes.select("c", "rep", "n", "sig"), "c"), "near-active")
+    lead = materialize(posts.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.count("*").alias("n")).where("n > 1"), "near-leaders")
+    star = materialize(join_counted(posts.select("c", "v"), lead, ["v"], n_posts, ["b"]).where("c <> b").select(F.col("c").alias("a"), "b").distinct(), "near-star")
+    alike = _alike(star, active, percent, matches)
+    tested = materialize(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+
+    # the texts of all active classes, fetched once
+    needed = active.select("c", F.col("rep.i").alias("ri"), F.col("rep.t").alias("rt"))
     named = docs.select(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(f"`{text_col}`").alias("x"))
+    texts = materialize(named.join(needed.hint("merge"), (named["t"] == needed["rt"]) & named["i"].eqNullSafe(needed["ri"])).select("c", "x"), "near-texts")
+    if texts.count() > active.count():  # rows that are equal in id and text
+        texts = materialize(texts.dropDuplicates(["c"]), "near-texts")
 
-    def texts(needed: DataFrame) -> DataFrame:
-        needed = needed.distinct().join(classes.select("c", "rep.i", "rep.t"), "c")
-        found = named.join(needed.hint("merge"), (named["t"] == needed["t"]) & named["i"].eqNullSafe(needed["i"]))
-        return materialize(found.select("c", "x").dropDuplicates(["c"]), "near-texts")
-
-    ends = lambda pairs: pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
-    links = materialize(_confirmed(tested, texts(ends(tested)), size, percent), "near-links")
+    links = materialize(_confirmed(tested, texts, size, percent), "near-links")
     comps = components(links, "near")
-    labelled = posts.select("c", "v").join(comps.withColumnRenamed("node", "c"), "c", "left").select("v", "c", F.coalesce("component", "c").alias("g"))
-    labelled = materialize(labelled.join(classes.select("c", "n"), "c"), "near-labelled")
-    mixed = materialize(labelled.groupBy("v").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("v"), "near-mixed")
-    left = materialize(labelled.join(mixed.hint("merge"), "v"), "near-left")
-    apart = materialize(left.select("c", "g", "n").distinct(), "near-apart")
-    cross = _rare_pairs(apart, texts(apart.select("c")), size, percent).join(tested, ["a", "b"], "left_anti")
-    more = materialize(cross, "near-pairs")
+    labelled = materialize(posts.select("c", "v").join(comps.withColumnRenamed("node", "c"), "c", "left").select("v", "c", F.coalesce("component", "c").alias("g")), "near-labelled")
+    mixed = labelled.groupBy("v").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n")).where("x < y")
+    left = join_counted(labelled, materialize(mixed, "near-mixed"), ["v"], n_posts).select("c", "g").distinct()
+    clusters = components(star, "near-clusters").select(F.col("node").alias("c"), F.col("component").alias("w"))
+    apart = materialize(left.join(clusters, "c").join(active.select("c", "n"), "c"), "near-apart")
+    cross = materialize(_rare_pairs(apart, texts, size, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
+    more = materialize(_alike(cross, active, percent, matches), "near-pairs")
     if not more.isEmpty():
-        found = materialize(_confirmed(more, texts(ends(more)), size, percent), "near-links")
+        found = materialize(_confirmed(more, texts, size, percent), "near-links")
         if not found.isEmpty():
             comps = components(links.union(found), "near")
-    ids = classes.select("c", "least").join(comps.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("g"))
-    of = ids.groupBy("g").agg(F.min("least").alias("component_id"))
-    named_classes = materialize(ids.join(of, "g").select("c", "component_id"), "near-components")
-    out = rows.select("i", "t", "c", "n").join(named_classes.hint("merge"), "c", "left")
-    own = F.when(F.col("c").isNull(), F.col("i")).otherwise(F.col("component_id"))
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("i").eqNullSafe(own).alias("kept"), F.col("t").alias("text_hash"))
+    release(texts, posts, star, labelled)
+
+    ids = materialize(classes.select("c", "m", "least").join(comps.withColumnRenamed("node", "c"), "c", "left").select("c", "m", "least", F.coalesce("component", "c").alias("g")), "near-ids")
+    of = ids.groupBy("g").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    n_classes = ids.count()
+    named_classes = materialize(join_counted(ids, of, ["g"], n_classes, ["component_id"]).select("c", F.col("m").alias("n"), "component_id"), "near-components")
+    kept = rows.select("i", "t", "c", F.col("n").alias("size"))
+    whole = join_counted(kept.where("c is not null"), named_classes, ["c"], kept.count(), ["component_id"])
+    out = whole.select("i", "t", "size", "component_id").unionByName(kept.where("c is null").select("i", "t", "size", F.col("i").alias("component_id")))
+    return out.select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), "component_id", F.col("i").eqNullSafe(F.col("component_id")).alias("kept"), F.col("t").alias("text_hash"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
