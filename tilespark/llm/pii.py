@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
 
@@ -24,19 +26,28 @@ ROUNDS, TRIES, LEAST_SALTS, SALTS, CANDIDATES = 8, 20, 4, 4096, 200_000
 WIDE = 1 << 30
 
 _GAP = r"[\s.\-!#$%&*|]{0,4}"
-# Titles that tell a person and, where they do, the gender.
-TITLES = "Mr Mrs Ms Miss Mister Sir Lady Dr Prof Herr Frau Señor Señora Señorita Sr Sra Monsieur Madame Mademoiselle Mme Mlle".split()
-FEMALE = frozenset("mrs ms miss lady frau señora señorita sra madame mademoiselle mme mlle".split())
+# Titles that tell a person, by the gender that they tell.
+FEMALE = "Mrs Ms Miss Lady Frau Señora Señorita Sra Madame Mademoiselle Mme Mlle".split()
+MALE = "Mr Mister Sir Herr Señor Sr Monsieur".split()
+TITLES = [*FEMALE, *MALE, "Dr", "Prof"]
+# Country calling codes of one and of two digits; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# Address blocks that aren't public; an address stays in its block, or public.
+BLOCKS = [ipaddress.ip_network(x) for x in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4 fe80::/10 fc00::/7 ff00::/8 2001:db8::/32 ::/8 2000::/3".split()]
+#: Last letters of given names that read as female and as male, by script.
+ENDS = {"f": ("aei", "ая", "αη"), "m": ("nrsdlkot", "нрсдлктмй", "ςν")}
+
 ENTITY = regex.compile(
     r"(?P<email>(?<![\w.+-])[\w%+-]+(?:\.[\w%+-]+)*@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[opsur]_[A-Za-z0-9]{36}(?!\w)|(?<![\w/+])(?=[0-9a-f]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\w/+]))"
     r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)(?P<keyed>(?=[\w+/-]*\d)[\w+/-]{12,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))"
     rf"|(?P<phone>(?<![\w+])\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?(?:{_GAP}\d{{2,4}}){{2,4}}(?!\d)|(?<!\w)\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-]))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})(?=[A-Fa-f:]*\d)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.,-])\d(?:[\ -]?\d){12,18}(?![\d-]))"
-    rf"|\b(?:{'|'.join(TITLES)})\.?\ (?P<person>\p{{Lu}}[\p{{L}}'-]+(?:\ \p{{Lu}}[\p{{L}}'-]+){{0,2}})",
+    rf"|\b(?P<title>{'|'.join(TITLES)})\.?\ (?P<person>\p{{Lu}}[\p{{L}}'-]+(?:\ \p{{Lu}}[\p{{L}}'-]+){{0,2}})",
 )
 
 #: Every entity holds one of these; around them, and MARGIN further to the next blank, the texts are looked at closely.
@@ -147,16 +158,19 @@ class Surrogates:
     def _wide(self, kind: str, normal: str, salt: int) -> str:
         """A surrogate outside the entity's format, where that has no place left; more letters the longer none is found."""
         tweak = f"{kind}{salt}"
-        if kind in ("email", "person"):
+        person = kind.startswith("person")
+        if kind == "email" or person:
             text, at, rest = normal.rpartition("@") if kind == "email" else (normal[:-1], "", normal[-1:])
-            text, rest = (text, rest) if at or kind == "person" else (normal, "")
+            text, rest = (text, rest) if at or person else (normal, "")
             alphabet_of = self._letter if kind == "email" else self._name_letter
             sets = [a for c in text if len(a := alphabet_of(c)) > 1 and not a[0].isdecimal()]
             more = (sets[-1][0] + sets[0][-1] if sets else "ba") * (1 + (salt - WIDE) // 64)
-            if kind == "person":
-                return self._spell(tweak, text + more, alphabet_of) + rest
+            if person:
+                return self._spell(tweak, text + more, alphabet_of) + self._ending(kind, rest, tweak)
             host, _, top = rest.rpartition(".")
             return f"{self._spell(tweak, text + more, alphabet_of)}@{self._spell('domain', host, self._letter)}.{top}"
+        if kind == "ipv6":  # a block that isn't in use, so that nothing can be met twice
+            return self._address(tweak, normal)
         keep = len(normal) - len(normal.rpartition(" ")[2]) if kind == "phone" else 2 if kind == "iban" else 0
         letters = "".join("abcdefghij"[unicodedata.decimal(c)] if c.isdecimal() else c for c in normal[keep:])
         return normal[:keep] + self._spell(tweak, letters, self._letter)
@@ -170,11 +184,8 @@ class Surrogates:
             local, domain = normal.rsplit("@", 1)
             host, top = domain.rsplit(".", 1)
             return f"{self._spell(tweak, local, self._letter)}@{self._spell('domain', host, self._letter)}.{top}"
-        if kind == "ip":
-            value = 0
-            for part in normal.split("."):
-                value = value * 256 + int(part)
-            return ".".join(map(str, self._shuffle(tweak, value, 1 << 32).to_bytes(4)))
+        if kind in ("ip", "ipv6"):
+            return self._address(tweak, normal)
         if kind == "card":
             valid = _luhn(normal)
             if not valid:
@@ -193,13 +204,28 @@ class Surrogates:
         if kind == "phone":
             code, _, rest = normal.rpartition(" ")
             return f"{code} {self._spell(tweak, rest, self._letter)}" if code else self._spell(tweak, rest, self._letter)
-        if kind == "person":
-            # the last letter stays: it carries the gender of a given name in many languages; but not where it is all there is
+        if kind.startswith("person"):
             if all(len(self._name_letter(c)) < 2 for c in normal[:-1]):
                 return self._spell(tweak, normal, self._name_letter)
-            return self._spell(tweak, normal[:-1], self._name_letter) + normal[-1:]
+            return self._spell(tweak, normal[:-1], self._name_letter) + self._ending(kind, normal[-1:], tweak + normal[:-1])
         return self._spell(tweak, normal, self._letter)
 
+    def _address(self, tweak: str, normal: str) -> str:
+        """An address of the same block, or a public one for a public one."""
+        own = ipaddress.ip_address(normal)
+        block = next((b for b in BLOCKS if b.version == own.version and own in b), None)
+        start, size = (int(block.network_address), block.num_addresses) if block else (0, 1 << own.max_prefixlen)
+        public = lambda v: not any(b.version == own.version and ipaddress.ip_address(v.to_bytes(own.max_prefixlen // 8)) in b for b in BLOCKS)
+        value = start + self._shuffle(f"{tweak}\0{start}", int(own) - start, size, None if block else public)
+        return str(ipaddress.ip_address(value.to_bytes(own.max_prefixlen // 8)))
+
+    def _ending(self, kind: str, last: str, tweak: str) -> str:
+        """The last letter of a name: a surname's stays, as it carries the gender in many languages; a given name gets one of its gender."""
+        ends = next((e for e in ENDS.get(kind[7:], ()) if unicodedata.name(e[0]).split(" ")[0] == unicodedata.name(last, " ").split(" ")[0]), None)
+        if not ends or last in ends:
+            return self._spell(f"{tweak}\0end", last, lambda c: ends) if ends else last
+        return ends[int.from_bytes(hashlib.blake2b(f"{tweak}\0{last}".encode(), key=self.key, digest_size=8).digest()) % len(ends)]
+
     def cached(self, kind: str, normal: str, salt: int) -> str:
         k = (kind, normal, salt)
         if k not in self.memory:
@@ -209,31 +235,50 @@ class Surrogates:
         return self.memory[k]
 
 
+def _code(digits: str) -> int:
+    """Digits of the country code that an international number starts with."""
+    return next((n for n in (1, 2) if digits[:n] in CODES), 3)
+
+
 def _normal(kind: str, text: str) -> list[tuple[str, str]]:
-    """(kind, normal form) of an entity's parts: what is written differently but means the same has one form."""
+    """(kind, normal form) of an entity other than a name: what is written differently but means the same has one form."""
     if kind == "email":
         return [(kind, text.lower())]
     if kind in ("card", "ssn", "iban"):
         return [(kind, "".join(c for c in text if c.isalnum()))]
     if kind == "phone":
-        m = regex.match(r"\+(\d{1,3})", text)
-        rest = "".join(c for c in (text[m.end() :] if m else text) if c.isdigit())
-        return [(kind, f"+{m[1]} {rest}" if m else rest)]
+        digits = "".join(c for c in text if c.isdigit())
+        n = _code(digits) if text.startswith("+") else 0
+        return [(kind, f"+{digits[:n]} {digits[n:]}" if n else digits)]
     if kind == "ip":
         return [(kind, ".".join(str(int(x)) for x in text.split(".")))]
-    if kind == "person":
-        return [(kind, _lower(unicodedata.normalize("NFC", w))) for w in text.split(" ")]
+    if kind == "ipv6":
+        return [(kind, str(ipaddress.ip_address(text)))]
     return [(kind, text)]
 
 
+def _name(word: str) -> str:
+    return _lower(unicodedata.normalize("NFC", word))
+
+
 def _write(kind: str, text: str, new: list[str]) -> str:
     """The surrogate in the format of what it replaces: separators, case and leading zeros."""
     if kind == "email":
         return new[0].upper() if text.isupper() else new[0]
     if kind in ("card", "ssn", "iban", "phone"):
-        chars = iter(new[0].split(" ", 1)[-1] if kind == "phone" else new[0])
-        skip = len(regex.match(r"(?:\+\d{1,3})?", text)[0]) if kind == "phone" else 0
-        return text[:skip] + "".join(next(chars) if c.isalnum() else c for c in text[skip:])
+        code, _, rest = new[0].rpartition(" ") if kind == "phone" else ("", "", new[0])
+        chars, keep, out = iter(rest), max(len(code) - 1, 0), []
+        for c in text:
+            if c.isalnum() and keep:
+                keep -= 1
+            elif c.isalnum():
+                c = next(chars)
+            out.append(c)
+        return "".join(out)
+    if kind == "ipv6":
+        own = ipaddress.ip_address(new[0])
+        made = str(own) if "::" in text else ":".join(x.lstrip("0") or "0" for x in own.exploded.split(":")) if any(len(x) < 4 for x in text.split(":")) else own.exploded
+        return made.upper() if text.isupper() else made
     if kind == "person":
         words = []
         for w, n in zip(text.split(" "), new):
@@ -261,19 +306,56 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities of a whole text."""
-    out = []
+def entities(text: str | None) -> list[tuple[int, int, str, list[tuple[str, str]]]]:
+    """(start, end, kind, parts) of the entities of a whole text; parts are (kind, normal form) of each word of a name.
+
+    A name is found by its title, and then every mention of its words in the text. The first words of a name are given
+    names, of the gender of a title that any mention in the text has with them, or else of their last letter.
+    """
+    out, names, gender = [], [], {}
     for a, b in _windows(text or ""):
         for m in ENTITY.finditer(text, a, b):
-            kind, (start, end) = m.lastgroup, m.span(m.lastgroup)
+            kind = m.lastgroup
+            start, end = m.span(kind)
             digits = "".join(c for c in m[0] if c.isdigit()) if kind in ("card", "phone") else ""
             if kind == "card" and not (_luhn(digits) or len(digits) == 16):
                 continue
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
-            out.append((start, end, "secret" if kind == "keyed" else kind))
-    return out
+            if kind == "ipv6":
+                try:
+                    ipaddress.IPv6Address(m[kind])
+                except ValueError:
+                    continue
+            if kind == "person":
+                names.append((start, end))
+                words = [_name(w) for w in m[kind].split(" ")]
+                told = "f" if m["title"] in FEMALE else "m" if m["title"] in MALE else ""
+                for w in words[:-1]:
+                    gender[w] = gender.get(w) or told
+                gender |= {words[-1]: gender.get(words[-1])}
+            else:
+                out.append((start, end, kind, _normal("secret" if kind == "keyed" else kind, m[kind])))
+    if not names:
+        return [(a, b, "secret" if k == "keyed" else k, p) for a, b, k, p in out]
+
+    def part(word: str) -> tuple[str, str]:
+        w = _name(word)
+        if gender.get(w) is None:
+            return "person", w
+        ends = ENDS["f"]
+        return f"person-{gender[w] or ('f' if any(w[-1:] in e for e in ends) else 'm')}", w
+
+    known = {w for a, b in names for w in text[a:b].split(" ") if len(w) > 1}
+    mention = "|".join(sorted(map(regex.escape, known | {_upper(w) for w in known}), key=len, reverse=True))
+    taken = sorted([(a, b) for a, b, _, _ in out] + names)
+    starts = [a for a, _ in taken]
+    for m in regex.finditer(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{mention})(?![\p{{L}}\p{{M}}\p{{N}}_])", text) if known else ():
+        i = bisect.bisect_right(starts, m.start()) - 1
+        if (i < 0 or taken[i][1] <= m.start()) and (i + 1 == len(taken) or taken[i + 1][0] >= m.end()):
+            names.append(m.span())
+    out += [(a, b, "person", [part(w) for w in text[a:b].split(" ")]) for a, b in names]
+    return [(a, b, "secret" if k == "keyed" else k, p) for a, b, k, p in sorted(out, key=lambda x: x[0])]
 
 
 SALTED = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "normal")] + [T.StructField("salt", T.IntegerType()), T.StructField("new", T.StringType())])
@@ -282,17 +364,21 @@ SALTED = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "norma
 def _moved(known: DataFrame, key: bytes) -> DataFrame | None:
     """(kind, normal, salt, new) of the entities that need a salt, or None: none of them has an original or another's surrogate.
 
-    Each turn every entity that is left tries some salts, more the fewer are left. Values that nobody has go to
-    the entity that has them by the least salt, and entities take the first that they got, so the result depends on
-    the entities alone. Where TRIES turns, or two of SALTS salts an entity, found no place, the formats that are left
-    are full: their salts write a wider format from there on, which grows until there is a place.
+    Of several with one surrogate the first by hash keeps it. Kinds of names share their words, so they are compared
+    as one (`what`). Each turn every entity that is left tries some salts, more the fewer are left. Values that nobody
+    has go to the entity that has them by the least salt, and entities take the first that they got, so the result
+    depends on the entities alone. Where TRIES turns, or two of SALTS salts an entity, found no place, the formats that
+    are left are full: their salts write a wider format from there on, which grows until there is a place.
     """
-    originals = known.select("kind", F.col("normal").alias("new"))
-    left = materialize(known.join(originals, ["kind", "new"], "left_semi").select("kind", "normal"), "pii-met")
+    what = F.split("kind", "-")[0].alias("what")
+    originals = materialize(known.select(what, F.col("normal").alias("new")).distinct(), "pii-originals")
+    first = known.groupBy(what, "new").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("normal").alias("h"), "normal", "kind")).alias("x")).where("many > 1")
+    later = known.withColumn("what", what).join(first, ["what", "new"]).where("x.normal <> normal or x.kind <> kind").select("kind", "normal")
+    left = materialize(known.withColumn("what", what).join(originals, ["what", "new"], "left_semi").select("kind", "normal").union(later).distinct(), "pii-met")
     n = left.count()
     if not n:
         return None
-    taken = known.join(left, ["kind", "normal"], "left_anti").select("kind", "new")
+    taken = known.join(left, ["kind", "normal"], "left_anti").select(what, "new")
     moved, salt, turn, vain = None, 1, 0, 0
     while n:
         if salt < WIDE and (turn == TRIES or vain == 2):
@@ -309,11 +395,11 @@ def _moved(known: DataFrame, key: bytes) -> DataFrame | None:
                         out.append((k, n, x, new))
             return {f: [r[i] for r in out] for i, f in enumerate(SALTED.names)}
 
-        tried = map_arrow(left, salted, SALTED).join(originals.union(taken), ["kind", "new"], "left_anti")
-        own = tried.groupBy("kind", "new").agg(F.min(F.struct("salt", F.xxhash64("normal").alias("h"), "normal")).alias("x")).select("kind", "x.normal", "x.salt", "new")
+        tried = map_arrow(left, salted, SALTED).withColumn("what", what).join(originals.union(taken), ["what", "new"], "left_anti")
+        own = tried.groupBy("what", "new").agg(F.min(F.struct("salt", F.xxhash64("normal").alias("h"), "normal", "kind")).alias("x")).select("x.kind", "x.normal", "x.salt", "new")
         got = materialize(own.groupBy("kind", "normal").agg(F.min(F.struct("salt", "new")).alias("x")).select("kind", "normal", "x.salt", "x.new"), "pii-moved")
         moved = got if moved is None else moved.unionByName(got)
-        taken = taken.unionByName(got.select("kind", "new"))
+        taken = taken.union(got.select(what, "new"))
         left = materialize(left.join(got, ["kind", "normal"], "left_anti"), "pii-met")
         before, n = n, left.count()
         salt, turn, vain = salt + many, turn + 1, vain + 1 if n == before and many == SALTS else 0
@@ -324,7 +410,7 @@ def _with_salts(docs: DataFrame, moved: DataFrame, text_col: str, name: str) ->
     """docs with the salts of the moved entities of each text, by the text's hash; a list of two texts serves both."""
 
     def listed(batch: pa.RecordBatch) -> dict:
-        found = sorted({(h, *x) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, kind in entities(t) for x in _normal(kind, t[a:b])})
+        found = sorted({(h, *x) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, _, _, parts in entities(t) for x in parts})
         return {f: [r[i] for r in found] for i, f in enumerate(("h", "kind", "normal"))}
 
     h = free_name(docs, f"{name}_of")
@@ -337,11 +423,14 @@ def _with_salts(docs: DataFrame, moved: DataFrame, text_col: str, name: str) ->
 def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with surrogate_text and n_entities: emails, addresses, numbers, secrets and titled names replaced everywhere alike.
 
-    A surrogate is a keyed permutation within the entity's kind and format, so one entity has the same surrogate in
-    all documents and two entities never share one; Luhn-valid numbers stay valid, and others invalid. All distinct
-    entities are then checked: one whose surrogate is itself or another's original moves on by salts until it meets no
-    original and no surrogate, and into a wider format only where its own has no place left. The salts of those that
-    moved are broadcast, or joined by shuffle where there are more than EXCEPTIONS.
+    A surrogate is a keyed mapping within the entity's kind and format: Luhn-valid numbers stay valid and others
+    invalid, numbers keep their country code, private addresses their block, names their script and case. A given name
+    ends as names of its gender do, which its title tells, or else its own ending. All words of a titled name are
+    replaced wherever the text has them, so mentions without the title go with it; one word has one surrogate in all
+    documents, but for given names whose title speaks against their ending. All distinct entities are then checked: one
+    whose surrogate is an original or another's surrogate moves on by salts until it meets none, and into a wider format
+    only where its own has no place left. The salts of those that moved are broadcast, or joined by shuffle where there
+    are more than EXCEPTIONS; both give equal results.
 
     Cases: null stays null with no entities; empty and long texts, null ids and repeated rows need nothing special; an
     empty table gives an empty result; input columns named like the added ones are replaced.
@@ -353,8 +442,8 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
         found = set()
         for t in batch.column(0):
             t = t.as_py()
-            for a, b, kind in entities(t):
-                found |= set(_normal(kind, t[a:b]))
+            for _, _, _, parts in entities(t):
+                found |= set(parts)
         if not found:
             return None
         s = Surrogates(key)
@@ -380,8 +469,8 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
             t = t.as_py()
             found, at, out = entities(t), 0, []
             salts = {(x["kind"], x["normal"]): x["salt"] for x in lists[i].as_py() or ()} if large else sent.value
-            for a, b, kind in found:
-                new = [own[0].cached(k, n, salts.get((k, n), 0)) for k, n in _normal(kind, t[a:b])]
+            for a, b, kind, parts in found:
+                new = [own[0].cached(k, n, salts.get((k, n), 0)) for k, n in parts]
                 out += [t[at:a], _write(kind, t[a:b], new)]
                 at = b
             texts.append(None if t is None else "".join([*out, t[at:]]))
