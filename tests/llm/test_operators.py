@@ -403,6 +403,59 @@ def test_pages_of_the_table(spark, sf_dir):
         assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
 
 
+TEMPLATES = {
+    # unmarked hosts: the main text, and what surrounds it, by template; names of classes say nothing
+    "plain.example": ("<body><div class=b1><p>Home of all things plain</p><a href=/>start</a> <a href=/x>more</a></div><div class=b2><div class=b3><p>This site keeps small files on your computer so that it works.</p>{main}<p>All rights are kept by the plain people of the plain.</p></div></div><div class=b4><p>{side}</p><p>Plain things since the year one, in all towns of the land.</p></div></body>", "<h1>{t}</h1>", "<p>{t}</p>"),
+    "table.example": ("<table><tr><td><ul><li><a href=/a>one</a><li><a href=/b>two</a></ul></td><td><h2>{t0}</h2><div>{main}</div></td></tr></table><p>Printed on paper from trees that were asked before.</p>", None, "<blockquote>{t}</blockquote>"),
+    "few.example": ("<div><p>A line that stands on each page of a host of few pages.</p>{main}</div>", "<h1>{t}</h1>", "<p>{t}</p>"),
+}
+
+
+def pages_of_templates(n=9):
+    rng = np.random.default_rng(12)
+    prose = lambda k: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(k)).capitalize() + "."
+    rows = []
+    for host, (page, head, part) in TEMPLATES.items():
+        for i in range(3 if host == "few.example" else n):
+            title, texts = prose(4), [prose(int(k)) for k in rng.integers(15, 60, rng.integers(2, 6))]
+            main = (head.format(t=title) if head else "") + "".join(part.format(t=t) for t in texts)
+            html = page.format(main=main, side=prose(3), t0=title)
+            fixed = [] if host != "few.example" else ["A line that stands on each page of a host of few pages."]
+            rows.append((f"http://{host}/{i}", html, "\n".join([*fixed, title, *texts])))
+    return rows
+
+
+def test_wrappers_decide_on_unmarked_templates(spark):
+    rows = pages_of_templates()
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.main_text for r in html_extract.extract_main_text(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+    # what each page says by itself differs wherever the host has text of its own
+    alone = [html_extract.extract(html_extract.blocks(h), None, frozenset()) for _, h, _ in rows]
+    assert sum(a != w for a, (_, _, w) in zip(alone, rows)) >= 9
+
+
+def test_wrappers_of_many_tasks_and_structures(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FAN_IN", 2)
+    monkeypatch.setattr(html_extract, "STRUCTURES", 2)
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    rows = pages_of_templates(20)
+    data = [(i, u, h) for i, (u, h, _) in enumerate(rows)] + [(900, "http://plain.example/", None), (901, None, "")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(11)
+    got = {r.page_id: r.main_text for r in html_extract.extract_main_text(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)} | {900: "", 901: ""}
+
+
+def test_malformed_pages_are_read_in_one_pass():
+    import time
+
+    for page in ("<a x " * 200_000, "<a x" * 100_000 + ">", '<a "x>" ' * 100_000, '<a b="' * 100_000, "<div>" * 50_000 + "<p>x</p>" * 50_000, "<!--" * 100_000, "<script>" * 50_000, "<" * 500_000, "<ul><li>" * 50_000):
+        start = time.perf_counter()
+        html_extract.fold(html_extract.blocks(page))
+        assert time.perf_counter() - start < 8, page[:20]
+    assert html_extract.blocks("a < b <p>c <3 d</p> 1<2")[0][2] == "a < b" and [x[2] for x in html_extract.blocks("<p title='a>b'>c</p><p x=\"d>e")] == ["c", "e"]
+
+
 def test_wrappers_find_repeats_and_options():
     page = lambda n: [("b/h", False, "t", 0)] + [x for _ in range(n) for x in (("b/c/p", False, "x", 0), ("b/c/q", False, "y", 0))]
     wrapper = html_extract.align(html_extract.fold(page(3)), html_extract.fold(page(1)))

@@ -5,16 +5,18 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, free_name, map_arrow, materialize, replace_columns, table
+from .common import add_columns, free_name, join_counted, materialize, replace_columns, table
 
 # Elements of HTML by the part that they play, and words of class, id and role that name boilerplate.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -32,11 +34,17 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 CONTAINER, LINKS, CONSTANT_PAGES = 0.7, 0.5, 5
 #: Longest repeated group, in slots. Wrappers of all hosts are broadcast up to this size.
 GROUP, BROADCAST_BYTES = 8, 16 << 20
+#: Open elements that a path names, the outermost ones; structures of pages that a task keeps before it aligns them;
+#: wrappers of a host that are aligned by one task.
+DEPTH, STRUCTURES, FAN_IN = 64, 500, 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_HEADING = re.compile(r"h[1-6]\b")
+_LEAF = re.compile(r"(p|li|h[1-6]|blockquote|pre|td|tr|dd|dt)\b")
 
 
 def _element(name: str, attrs: str) -> tuple[str, bool, bool]:
@@ -52,10 +60,50 @@ def _element(name: str, attrs: str) -> tuple[str, bool, bool]:
     return f"{name}.{'.'.join(sorted(set(words)))[:60]}" if words else name, boiler, main
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags of a page, and comments and declarations under the name ''.
+
+    One pass: a tag ends at the first `>` outside quotes. The first tag that has none ends at its first `>`, and so do
+    all after it, as its quotes don't match; `<` without any `>` behind it, or without a name, is text.
+    """
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    while 0 <= (start := page.find("<", at)):
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        name = _NAME.match(page, start + 1)
+        if start > last:
+            return
+        if not name:
+            if page[start + 1] in "!?":
+                at = page.find(">", start) + 1
+                yield start, at, "", False, ""
+            else:
+                at = start + 1
+            continue
+        end = name.end()
+        while quotes:
+            m = _STOP.search(page, end)
+            if m is None or (m[0] != ">" and (close := page.find(m[0], m.end())) < 0):
+                quotes = False
+            elif m[0] == ">":
+                end = m.start()
+                break
+            else:
+                end = close + 1
+        if not quotes:
+            end = page.find(">", name.end())
+        at = end + 1
+        yield start, at, name[0].lstrip("/").lower(), name[0][0] == "/", page[name.end() : end]
+
+
 def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
     """(path, boilerplate, text, length of link text) of every text block of a page, in page order."""
     out: list[tuple[str, bool, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # (name, key, boilerplate)
+    stack: list[tuple[str, str, bool]] = []  # (name, path, boilerplate here or above)
+    count: dict[str, int] = {}  # open elements by name
     buffer: list[str] = []
     links = [0, 0]  # characters within links, open links
     page = page or ""
@@ -65,33 +113,29 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                out.append(("/".join(s[1] for s in stack), any(s[2] for s in stack), text, links[0]))
+                out.append((*(stack[-1][1:] if stack else ("", False)), text, links[0]))
         links[0] = 0
 
-    at, silent = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    def close(depth: int) -> None:
+        for s in stack[depth:]:
+            count[s[0]] -= 1
+        del stack[depth:]
+
+    at = 0
+    for start, end, name, closing, attrs in tags(page):
+        if start < at:
             continue
-        if silent is None and m.start() > at:
-            piece = page[at : m.start()]
-            buffer.append(piece)
+        if start > at:
+            buffer.append(page[at:start])
             if links[1]:
-                links[0] += len(piece)
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if silent:
-            if closing and name == silent:
-                silent = None
+                links[0] += start - at
+        at = end
+        if not name:
             continue
         if name in SILENT and not closing:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                else:
-                    at = len(page)
+            if not attrs.rstrip().endswith("/"):
+                found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = found.end() if found else len(page)
             if name not in INLINE:
                 buffer.append(" ")
             continue
@@ -100,42 +144,46 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
                 buffer.append(" ")
             elif name == "a":
                 links[1] = max(0, links[1] + (-1 if closing else 1))
-            if closing or name in VOID or not m[3] or not _element(name, m[3])[1]:
-                if not (closing and any(s[0] == name for s in stack)):
+            if closing or name in VOID or not attrs or not _element(name, attrs)[1]:
+                if not (closing and count.get(name)):
                     continue
         flush()
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if count.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             links[1] = 0
             continue
         if name in VOID:
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in CLOSES:
+            close(len(stack) - 1)
+        if name in CLOSES and any(count.get(x) for x in CLOSES[name]):
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in SCOPES[name]:
                     break
                 if stack[depth][0] in CLOSES[name]:
-                    del stack[depth:]
+                    close(depth)
                     break
-        if not m[3].rstrip().endswith("/"):
-            key, boiler, main = _element(name, m[3])
-            in_main = any(s[1].startswith("*") for s in stack)
+        if not attrs.rstrip().endswith("/"):
+            key, boiler, main = _element(name, attrs)
+            path, above = stack[-1][1:] if stack else ("", False)
             if name == "header" or key.startswith("header~"):
-                boiler = boiler or not in_main
-            stack.append((name, f"*{key}" if main and not boiler else key, boiler))
-    if silent is None and at < len(page):
+                boiler = boiler or not (path.startswith("*") or "/*" in path)
+            if len(stack) < DEPTH:
+                key = f"*{key}" if main and not boiler else key
+                path = f"{path}/{key}" if stack else key
+            stack.append((name, path, above or boiler))
+            count[name] = count.get(name, 0) + 1
+    if at < len(page):
         buffer.append(page[at:])
     flush()
     return out
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper is a list of nodes [keys, repeated, optional, pages, characters, link characters, constant text or None];
-# keys is a tuple of slot paths: one for a slot, more for a repeated group.
+# A wrapper is a list of nodes [keys, repeated, optional, pages, characters, link characters, constant texts];
+# keys is a tuple of slot paths: one for a slot, more for a repeated group. Constant texts are those that all pages which
+# have the node hold in it, as (number of the key, hash, length); a node without any is a text slot.
 def fold(page: list[tuple[str, bool, str, int]]) -> list[list]:
     """Nodes of one page: tandem repeats of slots become repeated groups."""
     keys = [f"!{p}" if b else p for p, b, _, _ in page]
@@ -150,14 +198,23 @@ def fold(page: list[tuple[str, bool, str, int]]) -> list[list]:
             if n > 1 and (times == 1 or n * s > size * times):
                 size, times = s, n
         own = page[i : i + size * times]
-        text = own[0][2] if size * times == 1 else None
-        nodes.append([tuple(keys[i : i + size]), times > 1, False, 1, sum(len(x[2]) for x in own), sum(x[3] for x in own), text])
+        texts = sorted({(j % size, _hash(x[2]), len(x[2])) for j, x in enumerate(own)})
+        nodes.append([tuple(keys[i : i + size]), times > 1, False, 1, sum(len(x[2]) for x in own), sum(x[3] for x in own), texts])
         i += size * times
     return nodes
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def _both(a: list, b: list) -> list:
+    """Texts that both lists hold."""
+    return a if a == b else [x for x in a if x in set(b)]
+
+
 def _unify(a: list, b: list) -> list:
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], a[6] if a[6] == b[6] else None]
+    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], _both(a[6], b[6])]
 
 
 def _refold(nodes: list[list], groups: list[tuple]) -> list[list]:
@@ -167,7 +224,7 @@ def _refold(nodes: list[list], groups: list[tuple]) -> list[list]:
         while i + len(group) <= len(nodes):
             run = nodes[i : i + len(group)]
             if tuple(k for n in run for k in n[0]) == group and all(len(n[0]) == 1 for n in run):
-                nodes[i : i + len(group)] = [[group, False, any(n[2] for n in run), run[0][3], sum(n[4] for n in run), sum(n[5] for n in run), None]]
+                nodes[i : i + len(group)] = [[group, False, any(n[2] for n in run), run[0][3], sum(n[4] for n in run), sum(n[5] for n in run), [(j, *t[1:]) for j, n in enumerate(run) for t in n[6]]]]
             i += 1
     return nodes
 
@@ -189,7 +246,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
     for n in out:
         if folded and folded[-1][0] == n[0] and n[2] and folded[-1][2]:
             last = folded[-1]
-            folded[-1] = [n[0], True, True, last[3] + n[3], last[4] + n[4], last[5] + n[5], None]
+            folded[-1] = [n[0], True, True, last[3] + n[3], last[4] + n[4], last[5] + n[5], _both(last[6], n[6])]
         else:
             folded.append(n)
     return folded
@@ -201,37 +258,52 @@ def _containers(path: str) -> list[str]:
 
 
 def roles(wrapper: list[list], pages: int) -> tuple[str | None, frozenset]:
-    """(path of the element that holds the main text, slots within it that belong to the wrapper itself)."""
-    size: dict[str, float] = {}
-    total = 0.0
-    for keys, _, _, _, chars, link, _ in wrapper:
+    """(path of the element that holds the main text, texts that belong to the wrapper itself, with their paths).
+
+    On a host of enough pages, text that nearly all pages hold in a node is the wrapper's own wherever it stands, and
+    the main text lies where the text that changes does. A marked element decides where it holds most of that text.
+    """
+    fixed = frozenset((n[0][j], h) for n in wrapper if pages >= CONSTANT_PAGES and n[3] >= 0.9 * pages for j, h, _ in n[6])
+    chars_of: dict[str, float] = {}
+    order: list[str] = []
+    for keys, _, _, _, chars, link, own in wrapper:
+        constant = sum(size for j, h, size in own if (keys[j], h) in fixed) * pages
+        rest = max(0, chars - link - constant)
         for key in keys:
-            if key.startswith("!") or link > LINKS * chars:
+            if key.startswith("!") or link > LINKS * chars or not rest:
                 continue
-            own = (chars - link) / len(keys)
-            total += own
-            for c in _containers(key):
-                size[c] = size.get(c, 0) + own
-    marked = [c for c in size if c.rsplit("/", 1)[-1].startswith("*")]
+            chars_of[key] = chars_of.get(key, 0) + rest / len(keys)
+            order.append(key)
+    if not chars_of:
+        # nothing changes: one page again and again, or too few pages; then nothing is the wrapper's own
+        return (None, frozenset()) if not fixed else roles(wrapper, 0)
+    size: dict[str, float] = {}
+    for key, own in chars_of.items():
+        for c in _containers(key):
+            size[c] = size.get(c, 0) + own
+    total = sum(chars_of.values())
+    marked = [c for c in size if c.rsplit("/", 1)[-1].startswith("*") and size[c] >= 0.5 * total]
     if marked:
         # the innermost marked element of nearly all marked text: an article in a main element
         most = max(size[c] for c in marked)
         place = max((c for c in marked if size[c] >= 0.9 * most), key=lambda c: (c.count("/"), size[c]))
-    elif size:
-        place = max((c for c in size if size[c] >= CONTAINER * total), key=lambda c: (c.count("/"), size[c]), default="")
-        last = place.rsplit("/", 1)
-        if len(last) > 1 and re.match(r"(p|li|h[1-6]|blockquote|pre|td|tr|dd|dt)\b", last[1]):
-            place = last[0]
-    else:
-        return None, frozenset()
-    inside = [n for n in wrapper if n[0][0].startswith(place)]
-    changing = sum(1 for n in inside if n[6] is None)
-    constant = frozenset((n[0][0], n[6]) for n in inside if n[6] is not None and n[3] >= max(CONSTANT_PAGES, 0.9 * pages) and changing and pages >= CONSTANT_PAGES)
-    return place, constant
-
-
-def extract(page: list[tuple[str, bool, str, int]], place: str | None, constant: frozenset, link_slots: frozenset = frozenset()) -> str:
-    """Texts of the blocks that lie in the main element, in page order."""
+        return place, fixed
+    place = max((c for c in size if size[c] >= CONTAINER * total), key=lambda c: (c.count("/"), size[c]), default="")
+    last = place.rsplit("/", 1)
+    if len(last) > 1 and _LEAF.match(last[1]):
+        place = last[0]
+    # a heading of the article may stand before the element of its text
+    while "/" in place:
+        up = place.rsplit("/", 1)[0]
+        beside = [k for k in chars_of if k.startswith(f"{up}/") and not (k == place or k.startswith(f"{place}/"))]
+        if not beside or not all(_HEADING.match(k.rsplit("/", 1)[-1]) for k in beside):
+            break
+        place = up
+    return place, fixed
+
+
+def extract(page: list[tuple[str, bool, str, int]], place: str | None, fixed: frozenset) -> str:
+    """Texts of the blocks that lie in the main element, in page order, without the wrapper's own."""
     if place is None or not any(p == place or p.startswith(f"{place}/") for p, b, _, _ in page if not b):
         place, _ = roles(fold(page), 1)
         if place is None:
@@ -244,10 +316,10 @@ def extract(page: list[tuple[str, bool, str, int]], place: str | None, constant:
         depth = path.rsplit("/", 1)
         if comments is not None and path.startswith(comments):
             continue
-        if re.match(r"h[1-6]\b", depth[-1]) and text.lower().strip(":0123456789 ()") in COMMENT_HEADS:
+        if _HEADING.match(depth[-1]) and text.lower().strip(":0123456789 ()") in COMMENT_HEADS:
             comments = f"{depth[0]}/" if depth[0] != place else f"{place}/"
             continue
-        if (path, text) in constant or (not marked and link > LINKS * len(text)):
+        if (fixed and (path, _hash(text)) in fixed) or (not marked and link > LINKS * len(text)):
             continue
         out.append(text)
     return "\n".join(out)
@@ -259,7 +331,7 @@ def _pack(wrapper: list[list], pages: int) -> str:
 
 def _open(packed: str) -> tuple[int, list[list]]:
     pages, wrapper = json.loads(packed)
-    return pages, [[tuple(n[0]), *n[1:]] for n in wrapper]
+    return pages, [[tuple(n[0]), *n[1:6], list(map(tuple, n[6]))] for n in wrapper]
 
 
 class _Hosts:
@@ -273,15 +345,23 @@ class _Hosts:
         nodes = fold(page)
         key = (host, tuple((n[0], n[1]) for n in nodes))
         if key in self.seen:
-            self.seen[key] = [[a[0], a[1], a[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], a[6] if a[6] == b[6] else None] for a, b in zip(self.seen[key], nodes)]
+            self.seen[key] = [[a[0], a[1], a[2], a[3] + b[3], a[4] + b[4], a[5] + b[5], _both(a[6], b[6])] for a, b in zip(self.seen[key], nodes)]
         else:
             self.seen[key] = nodes
 
-    def rows(self) -> list[tuple[str, str]]:
+        if len(self.seen) >= STRUCTURES:
+            self.settle()
+
+    def settle(self) -> None:
+        """Align the structures that were met to their hosts' wrappers, so that a task keeps a bounded number of them."""
         for (host, _), nodes in self.seen.items():
             pages, wrapper = self.known.get(host, (0, []))
             more = max((n[3] for n in nodes), default=0)
             self.known[host] = pages + more, align(wrapper, nodes) if pages else nodes
+        self.seen = {}
+
+    def rows(self) -> list[tuple[str, str]]:
+        self.settle()
         return [(h, _pack(w, n)) for h, (n, w) in self.known.items()]
 
 
@@ -290,8 +370,8 @@ def _host(url):
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): of all pages of every host. Tasks align their own pages, then the wrappers of up to 64 tasks
-    are aligned, then all of a host, so no task sees more than wrappers of a host with very many pages."""
+    """(host, n, wrapper): of all pages of every host, n the pages with text. Tasks align their own pages, then the wrappers
+    of FAN_IN tasks are aligned at a time until one is left, so no task sees more of a host with very many pages."""
 
     def first(batches):
         hosts = _Hosts()
@@ -309,31 +389,41 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         for packed in pdf.sort_values("at")["wrapper"]:
             n, w = _open(packed)
             pages, wrapper = pages + n, align(wrapper, w) if pages else w
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "at": [int(pdf["at"].min()) // 64], "wrapper": [_pack(wrapper, pages)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "at": [int(pdf["at"].min()) // FAN_IN], "wrapper": [_pack(wrapper, pages)]})
 
     schema = "host string, at int, wrapper string"
     own = pages.select(_host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("page")).mapInArrow(first, schema)
-    some = own.groupBy("host", F.expr("at div 64").alias("part")).applyInPandas(merge, schema)
-    return some.groupBy("host").applyInPandas(merge, schema).select("host", "wrapper")
+    own = materialize(own, "html-wrappers")
+    most = own.agg(F.max("at")).first()[0]
+    while most:
+        own = materialize(own.groupBy("host", F.expr(f"at div {FAN_IN}").alias("part")).applyInPandas(merge, schema), "html-wrappers")
+        most //= FAN_IN
+    return own.select("host", F.get_json_object("wrapper", "$[0]").cast("long").alias("n"), "wrapper")
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with main_text and main_chars: the article of every page.
 
     Each host's pages are aligned to a wrapper: slots by their place, repeated groups, optional parts, texts that
-    never change. The wrapper tells the element that holds the article and what in it is the host's own; every page
-    is then read in full along it. A page without that element is judged by its own structure.
+    never change. The wrapper tells the element that holds the article, by where text changes, and what in it is the
+    host's own; every page is then read in full along it. A page without that element is judged by its own structure.
 
     Cases: a null or empty page gives an empty text, as does one without text in the article; null urls are one
     host; repeated rows get equal results; an empty table gives an empty result; unclosed elements end with the
-    page; input columns named like the added ones are replaced.
+    page, `<` that starts no tag is text, and paths name the outermost DEPTH elements; a page is read in one pass, so
+    long and malformed ones take time in proportion; input columns named like the added ones are replaced.
     """
     pages = replace_columns(pages, ["main_text", "main_chars"])
-    wrappers = materialize(infer_wrappers(pages, url_col, html_col), "html-wrappers")
+    wrappers = infer_wrappers(pages, url_col, html_col)
     host, wrapper = free_name(pages, "html_host"), free_name(pages, "html_wrapper")
-    total = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    wrappers = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper))
-    joined = pages.withColumn(host, _host(F.col(f"`{url_col}`"))).join(F.broadcast(wrappers) if total <= BROADCAST_BYTES else wrappers.hint("merge"), host, "left")
+    total, n_pages = wrappers.agg(F.sum(F.length("wrapper")), F.sum("n")).first()
+    wrappers = wrappers.select(F.col("host").alias(host), "n", F.col("wrapper").alias(wrapper))
+    keyed = pages.withColumn(host, _host(F.col(f"`{url_col}`")))
+    if (total or 0) <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(wrappers.drop("n")), host, "left")
+    else:  # a host of very many pages isn't brought together
+        empty = F.coalesce(F.length(F.col(f"`{html_col}`")) == 0, F.lit(True))
+        joined = join_counted(keyed.where(~empty), wrappers, [host], n_pages, [wrapper]).unionByName(keyed.where(empty).withColumn(wrapper, F.lit(None).cast("string")))
     memory: dict[str, tuple] = {}
 
     def read(batch: pa.RecordBatch) -> dict:
