@@ -69,6 +69,41 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
 
 
+def plain_quality(texts, labels):
+    """The whole classifier without Spark: (score of each text), for samples within its bounds."""
+    import pyarrow as pa
+    import xxhash
+
+    said = {}
+    for i, y in labels:
+        if y in (0, 1) and not (i is not None and zlib.crc32(str(i).encode()) % 5 == 0):
+            said[i] = min(y, said.get(i, y))
+    known = [(t, said[i]) for i, t in texts if i in said and i is not None and t is not None]
+    lines = {y: set(quality.line_pieces(pa.record_batch([pa.array([t for t, z in known if z == y], pa.string())], names=["t"]))["line"]) for y in (0, 1)}
+    order = lambda x: np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64)
+    good, bad = (quality._dictionary([x.encode() for x in sorted(lines[y] - lines[1 - y], key=lambda x: (order(x), x))]) for y in (1, 0))
+    m = quality.Measure(good, bad)
+    share = Counter(said.values())
+    model = quality.calibrate(good, bad, np.array([m(t.encode()) for t, _ in known]), np.array([float(y) for _, y in known]), share)
+    return [1 / (1 + math.exp(-(m((t or "").encode()) * model.weight + model.level))) for _, t in texts]
+
+
+def test_quality_equals_a_plain_version(spark, some, sf_dir):
+    given = rows_of(some, "doc_id", "text")
+    labels = rows_of(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "quality") + [(4, 0), (4, 1), (None, 1), (5, None), (7, 0), (8, 1)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = sorted((r.doc_id or -1, r.text or "", r.score) for r in quality.score(some, quality.fit(some, frame)).collect())
+    want = sorted((i or -1, t or "", s) for (i, t), s in zip(given, plain_quality(given, labels)))
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(got, want)) and len(got) == len(want)
+
+
+def test_quality_score_follows_the_difference_alone():
+    model = quality.Model(b"good words only", b"bad words only", 3.0, -1.0)
+    d = np.linspace(-0.5, 0.5, 50)
+    assert (np.diff(quality.likelihood(d, model)) > 0).all()
+    assert quality.Measure(model.good, model.bad)(b"") == quality.PRIOR / quality.PRIOR_LENGTH
+
+
 def test_quality_hard_cases(spark, hard):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 32)] + [(4, 0), (None, 1), (5, None)], "doc_id long, quality int")
     out = quality.score(hard, quality.fit(hard, labels))

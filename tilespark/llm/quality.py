@@ -20,22 +20,24 @@ SAMPLE_LINES, SAMPLE_ROWS = 20_000, 3_000
 LINE_BYTES, DICT_BYTES, PIECE_BYTES, LEVEL = 512, 65_536, 2_048, 3
 #: Documents with this score or more are predicted good.
 THRESHOLD = 0.3
+#: Added to the difference and to the length that it is normalised by: a text too short to tell anything scores as good
+#: as one with a small difference, and one that both dictionaries compress to next to nothing doesn't.
+PRIOR, PRIOR_LENGTH = 2.0, 40.0
 _NEAR = 1e-6
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries, and the calibration of what they measure."""
+    """Two dictionaries, and the calibration of the difference that they make: likelihood = logistic(weight * d + level)."""
 
     good: bytes
     bad: bytes
-    center: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    weight: float
+    level: float
 
 
 class Measure:
-    """Compressed sizes of a text with the good and the bad dictionary, and with none."""
+    """The normalised difference of a text's compressed sizes with the bad and with the good dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         def make(d: bytes):
@@ -44,21 +46,16 @@ class Measure:
                 own.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        self.good, self.bad, self.plain = make(good), make(bad), make(b"")
+        self.good, self.bad = make(good), make(bad)
 
-    def __call__(self, text: bytes) -> tuple[float, float, float]:
-        """(normalised difference of the two sizes, plain size over length, logarithm of the length)."""
-        pieces = [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)] or [b""]
-        good = sum(len(self.good.compress(p)) for p in pieces)
-        bad = sum(len(self.bad.compress(p)) for p in pieces)
-        plain = len(self.plain.compress(text))
-        return (bad - good) / (bad + good), min(plain / max(len(text), 1), 1.5), math.log1p(len(text))
+    def __call__(self, text: bytes) -> float:
+        pieces = [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
+        gain = sum(len(self.bad.compress(p)) - len(self.good.compress(p)) for p in pieces)
+        return (gain + PRIOR) / (len(text) + PRIOR_LENGTH)
 
 
-def basis(x: np.ndarray) -> np.ndarray:
-    """Terms of the calibration: the difference, the plain ratio and the length, their products, and two hinges of the ratio."""
-    d, r, n = x[:, 0], x[:, 1], x[:, 2]
-    return np.stack([d, r, n, d * d, d * r, d * n, r * r, r * n, n * n, np.maximum(0, 0.3 - r), np.maximum(0, 0.4 - r), np.tanh(d * 20)], axis=1)
+def likelihood(d: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(d * model.weight + model.level, -30, 30)))
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -110,10 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labelled ids are chosen by hash first, 2 * SAMPLE_ROWS of each class, so documents are only scanned.
     Dictionaries: of each class the SAMPLE_LINES pieces of least hash, of lines in pieces of LINE_BYTES, without pieces
-    that both classes hold. Calibration: logistic regression over the measures of the SAMPLE_ROWS rows of least hash of each
-    class, whole texts, with the classes weighing as in all labelled rows; only the measures reach the driver.
+    that both classes hold. Calibration: logistic regression over the normalised difference of the SAMPLE_ROWS rows of
+    least hash of each class, whole texts, with the classes weighing as in all labelled rows; only the differences reach
+    the driver. An id with both labels counts as bad; null labels and ids without a text teach nothing.
     """
-    named = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y")).where("y in (0, 1)").where(~held_out(F.col("i"))).dropDuplicates(["i"])
+    named = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y")).where("y in (0, 1)").where(~held_out(F.col("i"))).groupBy("i").agg(F.min("y").alias("y"))
     share = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     # ids of least hash, twice the bound as some may have no text: few enough to broadcast whatever the table's size
     picked = [named.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(2 * SAMPLE_ROWS) for y in (0, 1)]
@@ -126,27 +124,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows[y] = [r.line.encode() for r in lines.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect()]
     both = set(rows[0]) & set(rows[1])
     good, bad = (_dictionary([x for x in rows[y] if x not in both]) for y in (1, 0))
-    fields = T.StructType([T.StructField(c, T.DoubleType()) for c in ("d", "r", "n", "y")])
+    fields = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
     def measure(batch: pa.RecordBatch) -> dict:
         m = Measure(good, bad)
-        got = np.array([m(t) for t in batch.column(0).cast(pa.large_binary()).to_pylist()])
-        return {"d": got[:, 0], "r": got[:, 1], "n": got[:, 2], "y": batch.column(1).to_numpy().astype(float)}
+        return {"d": [m(t) for t in batch.column(0).cast(pa.large_binary()).to_pylist()], "y": batch.column(1).to_numpy().astype(float)}
 
     seen = []
     for y in (0, 1):
         own = sample.where(F.col("y") == y).orderBy("h", "i").limit(SAMPLE_ROWS).select("t", "y")
         seen += map_arrow(own, measure, fields).collect()
-    x = basis(np.array([[r.d, r.r, r.n] for r in seen]).reshape(-1, 3))
-    y = np.array([r.y for r in seen])
+    return calibrate(good, bad, np.array([r.d for r in seen]), np.array([r.y for r in seen]), share)
+
+
+def calibrate(good: bytes, bad: bytes, d: np.ndarray, y: np.ndarray, share: dict) -> Model:
+    """The model of dictionaries, of differences d with labels y, and of the number of all labelled rows of each label."""
     if len(set(y.tolist())) < 2:  # one class or none: nothing to tell apart
-        level = 4.0 if len(y) == 0 or y[0] == 1 else -4.0
-        return Model(good, bad, (0.0,) * x.shape[1], (1.0,) * x.shape[1], (0.0,) * x.shape[1] + (level,))
-    center, scale = x.mean(0), x.std(0) + _NEAR
-    w = _fit_logistic((x - center) / scale, y)
+        return Model(good, bad, 0.0, 4.0 if len(y) == 0 or y[0] == 1 else -4.0)
+    center, scale = d.mean(), d.std() + _NEAR
+    w, level = _fit_logistic(((d - center) / scale)[:, None], y)
     # the classes were sampled apart; shift the intercept to the share that they have among all labelled rows
-    w[-1] += math.log(share[1] / share[0]) - math.log((y == 1).sum() / (y == 0).sum())
-    return Model(good, bad, tuple(center), tuple(scale), tuple(w))
+    level += math.log(share[1] / share[0]) - math.log((y == 1).sum() / (y == 0).sum())
+    return Model(good, bad, float(w / scale), float(level - w * center / scale))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -164,8 +163,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         if not measures:
             measures.append(Measure(m.good, m.bad))
         texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary())
-        x = (basis(np.array([measures[0](t.as_py() or b"") for t in texts])) - np.array(m.center)) / np.array(m.scale)
-        return {"score": 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[:-1]) + m.weights[-1], -30, 30)))}
+        return {"score": likelihood(np.array([measures[0](t.as_py() or b"") for t in texts]), m)}
 
     return add_columns(docs, scored, [T.StructField("score", T.DoubleType())])
 
