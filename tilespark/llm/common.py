@@ -208,29 +208,51 @@ def words_of(data: np.ndarray, ends: np.ndarray, which: int = 0) -> tuple[np.nda
     return range_hashes(data.astype(np.uint64) + np.uint64(1), starts, stops, which), first
 
 
+#: Bytes up to which a counted table is broadcast.
+SMALL = 16 << 20
+
+
+def is_small(table: DataFrame, row_bytes: int) -> bool:
+    """Whether a table of rows of so many bytes at most may be broadcast: its rows are counted."""
+    return table.count() * row_bytes <= SMALL
+
+
+def attach(rows: DataFrame, known: DataFrame, keys: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """rows joined with a stored table of one row a key: broadcast if it is small, else by a shuffle, of whose partitions
+    Spark splits those that a very common key makes large, as both sides are dealt anew for it."""
+    return rows.join(F.broadcast(known) if is_small(known, row_bytes) else known.hint("merge"), keys, how)
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the smallest node of each.
 
     Rounds of hooking: every node sends the least label it sees to its neighbours and to its own label, then
-    labels jump. Every aggregate is a minimum, so a node with very many links is combined before the shuffle, and
-    joins count their keys first, so it isn't brought together in one task either.
+    labels jump. Every aggregate is a minimum, so a node with very many links is combined before the shuffle. Labels
+    are broadcast while they are few; beyond that, joins count their keys first, so that such a node isn't brought
+    together in one task either.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, f"{tag}-edges")
-    total = both.count()
-    least = F.least("node", "m")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("n")).select("node", "n", least.alias("label"), F.col("node").alias("old")), f"{tag}-labels")
-    nodes = labels.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    labels = materialize(labels.select("node", "n", F.least("node", "m").alias("label"), F.col("node").alias("old")), f"{tag}-labels")
+    small = is_small(labels, 64)
+    total, nodes = (0, 0) if small else (both.count(), labels.count())
+    none = F.lit(None).cast("long")
     while not labels.where("label <> old").isEmpty():
-        now = labels.select("node", "label")
-        seen = join_counted(both, labels.select(F.col("node").alias("b"), "n", "label"), ["b"], total, ["label"]).select(F.col("a").alias("node"), "label")
-        near = seen.union(now).groupBy("node").agg(F.min("label").alias("least"))
+        known = labels.select(F.col("node").alias("b"), "n", "label")
+        seen = both.join(F.broadcast(known.drop("n")), "b") if small else join_counted(both, known, ["b"], total, ["label"])
+        seen = seen.select(F.col("a").alias("node"), "label", none.alias("own"), none.alias("n")).union(labels.select("node", "label", F.col("label").alias("own"), "n"))
+        near = seen.groupBy("node").agg(F.min("label").alias("least"), F.max("own").alias("own"), F.max("n").alias("n"))
         # what a node sees is also told to the node that its label names
-        told = near.join(now, "node").select(F.col("label").alias("node"), F.col("least").alias("label"))
-        merged = materialize(near.select("node", F.col("least").alias("label")).union(told).groupBy("node").agg(F.min("label").alias("label")), f"{tag}-merged")
-        up = merged.groupBy("label").agg(F.count("*").alias("n")).join(merged.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
-        jumped = join_counted(merged, up, ["label"], nodes, ["up"]).select("node", F.least("label", "up").alias("label"))
-        new = materialize(jumped.join(labels.select("node", "n", F.col("label").alias("old")), "node"), f"{tag}-labels")
+        told = F.explode(F.array(F.struct("node", "least", "own", "n"), F.struct(F.col("own").alias("node"), "least", none.alias("own"), none.alias("n")))).alias("x")
+        merged = near.select(told).select("x.*").groupBy("node").agg(F.min("least").alias("label"), F.max("own").alias("old"), F.max("n").alias("n"))
+        merged = materialize(merged, f"{tag}-merged")
+        up = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        if small:
+            jumped = merged.join(F.broadcast(up), "label")
+        else:
+            jumped = join_counted(merged.withColumnRenamed("n", "links"), merged.groupBy("label").agg(F.count("*").alias("n")).join(up, "label"), ["label"], nodes, ["up"]).withColumnRenamed("links", "n")
+        new = materialize(jumped.select("node", "n", F.least("label", "up").alias("label"), "old"), f"{tag}-labels")
         release(labels, merged)
         labels = new
     return labels.select("node", F.col("label").alias("component"))

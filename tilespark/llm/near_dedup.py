@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, join_counted, map_arrow, materialize, mix, range_hashes, release, shingle_sets, table
+from .common import attach, components, free_name, join_counted, map_arrow, materialize, mix, range_hashes, release, shingle_sets, table
 
 #: Coordinates of a signature, and most minima that one of them is made of.
 COORDS, MOST_MINIMA = 48, 4
@@ -19,8 +19,6 @@ LOSS = 1e-6
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDS * MOST_MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 1 << 63, COORDS * MOST_MINIMA, np.uint64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
-#: Pairs of one class that a copy of its text serves.
-PAIRS = 200
 
 
 def plan(percent: int) -> tuple[int, int]:
@@ -76,39 +74,32 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     shares fewer lists than that matches no other: most documents end here. known: lengths of all its lists, which is
     most for the text that a group's copies stem from.
     """
-    posted = classes.select("c", F.explode("sig").alias("v"))
+    posted = classes.select("c", "n", F.explode("sig").alias("v"))
     often = materialize(posted.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "near-often")
-    shared = join_counted(posted, often, ["v"], COORDS * classes.count(), ["n"]).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("p")).where(F.size("p") >= matches)
+    lists = join_counted(posted.withColumnRenamed("n", "size"), often, ["v"], COORDS * classes.count(), ["n"])
+    shared = lists.groupBy("c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("p")).where(F.size("p") >= matches)
     rarest = F.explode(F.slice("p", F.lit(1), F.size("p") - (matches - 1)))
     known = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = materialize(shared.select("c", known.alias("known"), rarest.alias("x")).select("c", "x.v", "known"), "near-postings")
+    out = materialize(shared.select("c", F.col("size").alias("n"), known.alias("known"), rarest.alias("x")).select("c", "n", "x.v", "known"), "near-postings")
     release(often)
     return out
 
 
+#: Most bytes of a row (class, size, signature) and of a short one.
+SIGNED, SHORT = 32 + 8 * COORDS, 64
+
+
 def _alike(pairs: DataFrame, active: DataFrame, percent: int, matches: int) -> DataFrame:
     """(a, b): the pairs whose set sizes allow the similarity and whose lists coincide often enough."""
-    total = pairs.count()
-    for x in "ab":  # one class may be the leader of very many
+    for x in "ab":
         known = active.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-        counted = pairs.groupBy(x).agg(F.count("*").alias("n")).join(known, x)
-        pairs = join_counted(pairs, counted, [x], total, [f"n{x}", f"s{x}"])
+        pairs = attach(pairs, known, [x], SIGNED)
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return pairs.where(fits & (F.size(F.array_intersect("sa", "sb")) >= matches)).select("a", "b")
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, x: str, other: str, total: int) -> DataFrame:
-    """pairs with the text of class x, which is dealt in several copies where the class has many pairs."""
-    counts = pairs.groupBy(x).agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / PAIRS).cast("int")
-    salted = join_counted(pairs, counts.withColumn("parts", parts), [x], total, ["parts"]).withColumn("salt", F.pmod(F.hash(other), "parts")).drop("parts")
-    named = texts.select(F.col("c").alias(x), F.col("x").alias(f"x{x}"))
-    copies = counts.join(named, x).select(x, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), f"x{x}")
-    return salted.join(copies.hint("merge"), [x, "salt"]).drop("salt")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): the pairs whose full shingle sets have the similarity."""
+    """(a, b): the pairs whose full shingle sets have the similarity; b may be one class of very many pairs."""
 
     def verify(batch: pa.RecordBatch) -> dict:
         sets = []
@@ -124,8 +115,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
         take = pa.array(np.flatnonzero(good))
         return {"a": batch.column(0).take(take), "b": batch.column(1).take(take)}
 
-    total = pairs.count()
-    rows = _with_text(_with_text(pairs, texts, "a", "b", total), texts, "b", "a", total).select("a", "b", "xa", "xb")
+    side = lambda x: texts.select(F.col("c").alias(x), F.col("x").alias(f"x{x}")).hint("merge")
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb")
     return map_arrow(rows, verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
@@ -140,16 +131,17 @@ def _rare_pairs(apart: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
     def spread(batch: pa.RecordBatch) -> dict:
         rows, s = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for row, end, values, first in shingle_sets(batch.column(2), size):
+        for row, end, values, first in shingle_sets(batch.column(4), size):
             rows.append(np.repeat(np.arange(row, end), np.diff(first)))
             s.append(values)
         take = pa.array(np.concatenate(rows))
-        return {"w": batch.column(0).take(take), "c": batch.column(1).take(take), "s": np.concatenate(s).view(np.int64)}
+        return {k: batch.column(i).take(take) for i, k in enumerate("wcgm")} | {"s": np.concatenate(s).view(np.int64)}
 
-    held = materialize(map_arrow(apart.select("c", "w").join(texts, "c").select("w", "c", "x"), spread, T.StructType([T.StructField(k, T.LongType()) for k in "wcs"])), "near-held")
+    given = texts.join(apart.hint("merge"), "c").select("w", "c", "g", F.col("n").alias("m"), "x")
+    held = materialize(map_arrow(given, spread, T.StructType([T.StructField(k, T.LongType()) for k in "wcgms"])), "near-held")
     often = materialize(held.groupBy("w", "s").agg(F.count("*").alias("n")).where("n > 1"), "near-shingles")
-    shared = join_counted(held, often, ["w", "s"], held.count(), ["n"])
-    ranked = shared.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("p")).join(apart, "c")
+    shared = held.join(often.hint("merge"), ["w", "s"])
+    ranked = shared.groupBy("w", "c", "g", F.col("m").alias("n")).agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("f"), "s"))).alias("p"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     lone = (F.col("n") - F.size("p")).cast("int")
     posts = ranked.select("c", "w", "g", "n", lone.alias("lone"), F.posexplode(F.slice("p", F.lit(1), F.greatest(F.lit(0), (prefix - lone).cast("int")))).alias("i", "x"))
@@ -170,7 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its lists, their best-known members, which joins the members of a large group without pairing them. Classes of
     lists that still hold several components then meet by the rarest shingles of their full sets, counted within the
     cluster of all that leaders connect. All pairs are confirmed on their full sets. Links that are never looked at join
-    what is joined already. A class, list or leader of very many rows is counted first and broadcast or dealt in parts.
+    what is joined already. Joins in which one class, list or leader may have very many rows either count their keys first,
+    broadcast a counted table, or stand last in their job, where Spark splits large partitions.
 
     Cases: null and empty texts have an empty set, link with nothing and are kept; texts of fewer words than `size`
     are one shingle; null ids take part and count as larger than any id; repeated rows share a class and, with equal
@@ -178,15 +171,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     minima, matches = plan(percent)
     rows = materialize(signatures(docs, id_col, text_col, size, minima), "near-rows")
-    least = F.min("i").alias("least")
-    classes = materialize(rows.where("c is not null").groupBy("c").agg(least, F.min(F.struct("i", "t")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("m"), F.first("sig").alias("sig")), "near-classes")
+    classes = rows.where("c is not null").groupBy("c").agg(F.min("i").alias("least"), F.min(F.struct("i", "t")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes, "near-classes")
     posts = _postings(classes, matches)
-    n_posts = posts.count()
-    active = materialize(posts.select("c").distinct().join(classes.select("c", "rep", "n", "sig"), "c"), "near-active")
-    lead = materialize(posts.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.count("*").alias("n")).where("n > 1"), "near-leaders")
-    star = materialize(join_counted(posts.select("c", "v"), lead, ["v"], n_posts, ["b"]).where("c <> b").select(F.col("c").alias("a"), "b").distinct(), "near-star")
-    alike = _alike(star, active, percent, matches)
-    tested = materialize(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    active = materialize(classes.join(posts.select("c").distinct(), "c", "left_semi").select("c", "rep", "n", "sig"), "near-active")
+    lead = materialize(posts.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.count("*").alias("m")).where("m > 1").select("v", "b"), "near-leaders")
+    star = materialize(attach(posts.select("v", F.col("c").alias("a")), lead, ["v"], SHORT).where("a <> b").select("a", "b"), "near-star").distinct()
+    star = materialize(star, "near-star")
+    tested = materialize(_alike(star, active, percent, matches), "near-pairs")
 
     # the texts of all active classes, fetched once
     needed = active.select("c", F.col("rep.i").alias("ri"), F.col("rep.t").alias("rt"))
@@ -197,27 +189,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialize(_confirmed(tested, texts, size, percent), "near-links")
     comps = components(links, "near")
-    labelled = materialize(posts.select("c", "v").join(comps.withColumnRenamed("node", "c"), "c", "left").select("v", "c", F.coalesce("component", "c").alias("g")), "near-labelled")
-    mixed = labelled.groupBy("v").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n")).where("x < y")
-    left = join_counted(labelled, materialize(mixed, "near-mixed"), ["v"], n_posts).select("c", "g").distinct()
-    clusters = components(star, "near-clusters").select(F.col("node").alias("c"), F.col("component").alias("w"))
-    apart = materialize(left.join(clusters, "c").join(active.select("c", "n"), "c"), "near-apart")
-    cross = materialize(_rare_pairs(apart, texts, size, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
-    more = materialize(_alike(cross, active, percent, matches), "near-pairs")
-    if not more.isEmpty():
+    clusters = components(star, "near-clusters")
+    places = clusters.select(F.col("node").alias("c"), F.col("component").alias("w")).join(comps.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").select("c", "w", F.coalesce("g", "c").alias("g"))
+    places = materialize(places, "near-places")
+    labelled = materialize(attach(posts.select("c", "v", "n"), places, ["c"], SHORT), "near-labelled")
+    mixed = materialize(labelled.groupBy("v").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("v"), "near-mixed")
+    apart = materialize(attach(labelled, mixed, ["v"], SHORT, "left_semi").select("c", "w", "g", "n"), "near-left")
+    apart = materialize(apart.distinct(), "near-apart")
+    cross = _rare_pairs(apart, texts, size, percent)
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = materialize(cross.join(known, ["a", "b"], "left_anti"), "near-cross")
+    if not cross.isEmpty():
+        more = materialize(_alike(cross, active, percent, matches), "near-pairs")
         found = materialize(_confirmed(more, texts, size, percent), "near-links")
         if not found.isEmpty():
             comps = components(links.union(found), "near")
     release(texts, posts, star, labelled)
 
-    ids = materialize(classes.select("c", "m", "least").join(comps.withColumnRenamed("node", "c"), "c", "left").select("c", "m", "least", F.coalesce("component", "c").alias("g")), "near-ids")
-    of = ids.groupBy("g").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    n_classes = ids.count()
-    named_classes = materialize(join_counted(ids, of, ["g"], n_classes, ["component_id"]).select("c", F.col("m").alias("n"), "component_id"), "near-components")
-    kept = rows.select("i", "t", "c", F.col("n").alias("size"))
-    whole = join_counted(kept.where("c is not null"), named_classes, ["c"], kept.count(), ["component_id"])
-    out = whole.select("i", "t", "size", "component_id").unionByName(kept.where("c is null").select("i", "t", "size", F.col("i").alias("component_id")))
-    return out.select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), "component_id", F.col("i").eqNullSafe(F.col("component_id")).alias("kept"), F.col("t").alias("text_hash"))
+    # only classes that are linked have another component than themselves
+    ids = materialize(comps.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "least"), "c"), "near-ids")
+    of = materialize(ids.groupBy("g").agg(F.min("least").alias("component_id")), "near-least")
+    linked = materialize(attach(ids.select("c", "g"), of, ["g"], SHORT).select("c", "component_id"), "near-linked")
+    named_classes = classes.select("c", "least").join(linked, "c", "left").select("c", F.coalesce("component_id", "least").alias("component_id"))
+    named_classes = materialize(named_classes, "near-components")
+    out = rows.select("i", "t", "c", "n").join(named_classes.hint("merge"), "c", "left")
+    own = F.when(F.col("c").isNull(), F.col("i")).otherwise(F.col("component_id"))
+    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("i").eqNullSafe(own).alias("kept"), F.col("t").alias("text_hash"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
