@@ -155,11 +155,84 @@ def test_outliers_equal_a_plain_estimate_and_keep_clean_rows(spark):
     df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "g string, i int, x0 double, x1 double, x2 double, x3 double, x4 double")
     d2 = np.array([r.d2 for r in outliers.robust_distances(df).orderBy("i").collect()])
     assert (d2[:40] > outliers.CUTOFF).all() and (d2[40:] <= outliers.CUTOFF).all()
-    # the estimate is a fixed point: three quarters of least distance give it again
-    near = x[np.argsort(d2)[: int(0.75 * len(x))]]
-    c = np.cov(near.T, bias=True) * 1.6 + np.diag(np.square(outliers.LEAST_SCALE))
-    z = x - near.mean(0)
-    assert np.allclose(np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z), d2, rtol=0.1, atol=0.1)
+    want, dets = plain_distances(x)
+    assert np.allclose(want, d2, rtol=1e-6, atol=1e-6)
+    # the determinant falls from step to step, but for the width of a bin, and the least of all starts is kept
+    assert all(b <= a * 1.02 for steps in dets for a, b in zip(steps, steps[1:]))
+
+
+def plain_distances(x):
+    """Squared distances of the rows of one group, without Spark, and the determinants of the steps of every start."""
+    o, d = outliers, x.shape[1]
+    floor2 = np.square(o.LEAST_SCALE)
+
+    def cut(b, share):  # least bin up to which the share of the rows lies
+        values, n = np.unique(b, return_counts=True)
+        return values[np.argmax(np.cumsum(n) >= share * len(b))]
+
+    m = np.array([(cut(np.floor(x[:, i] * o.BINS_COORD), 0.5) + 0.5) / o.BINS_COORD for i in range(d)])
+    s = np.array([cut(np.floor(np.abs(x[:, i] - m[i]) * o.BINS_COORD), 0.5) / o.BINS_COORD * 1.4826 for i in range(d)])
+    s = np.sqrt(s * s + floor2)
+    z = (x - m) / s
+    u, t = z / np.sqrt((z * z).sum(1) + 1e-12)[:, None], np.tanh(z)
+    shapes = [np.eye(d), u.T @ u / len(x), t.T @ t / len(x)]
+    est = [(m, (c / (1 if k == 0 else (np.trace(c) + 1e-12) / d)) * np.outer(s, s) + np.diag(floor2), None) for k, c in enumerate(shapes)]
+
+    def distances(e):
+        y = x - e[0]
+        return np.einsum("ij,jk,ik->i", y, np.linalg.inv(e[1]), y)
+
+    def step(e):
+        b = np.floor(np.log2(distances(e) + 1e-6) * o.BINS_LOG)
+        near = x[b <= cut(b, o.SUBSET)]
+        c = np.cov(near.T, bias=True) * o.CONSISTENCY + np.diag(floor2)
+        return near.mean(0), c, math.sqrt(np.linalg.det(c))
+
+    dets = [[] for _ in est]
+    for _ in range(o.FIRST_STEPS):
+        est = [step(e) for e in est]
+        for own, e in zip(dets, est):
+            own.append(e[2])
+    best = min(range(len(est)), key=lambda k: (est[k][2], k))
+    seen = [est[best]]
+    for _ in range(o.STEPS):
+        seen.append(step(seen[-1]))
+        dets[best].append(seen[-1][2])
+    return distances(min(seen, key=lambda e: e[2])), dets
+
+
+@pytest.mark.parametrize("least", [40, 200])
+def test_verdicts_equal_a_plain_version(spark, some, least, monkeypatch):
+    monkeypatch.setattr(outliers, "LEAST_GROUP", least)
+    given = rows_of(some, "doc_id", "text", "lang", "source")
+    stats = [plain_statistics(t) for _, t, _, _ in given]
+    good = [k for k, st in enumerate(stats) if not st[-1]]
+    pairs, langs = Counter(given[k][2:] for k in good), Counter(given[k][2] for k in good)
+    group = {k: given[k][2:] if pairs[given[k][2:]] >= least else given[k][2] if langs[given[k][2]] >= least else "all of the rest" for k in good}
+    # a language without groups of its own counts all of its rows, those in other groups of it too
+    vector = lambda st: [math.log1p(st[0]), st[1] / max(st[0], 1), math.log((st[2] + 1) / (max(st[1], 1) + 100)), st[3] / (max(st[0], 1) / 50 + 1), st[4] / (st[0] + 10)]
+    kept = {}
+    for g in set(group.values()):
+        own = [k for k in good if group[k] == g]
+        d2, _ = plain_distances(np.array([vector(stats[k]) for k in own]))
+        kept |= {k: (round(float(v), 4), bool(v <= outliers.CUTOFF)) for k, v in zip(own, d2)}
+    got = outliers.reject_outliers(some)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    want = sorted(((given[k][0], stats[k], *kept.get(k, (None, False))) for k in range(len(given))), key=order)
+    have = sorted(((r.doc_id, tuple(r[c] for c in (*outliers.STATS, "base_failed")), r.distance, r.kept) for r in got.collect()), key=order)
+    assert [(*w[:2], w[3]) for w in want] == [(*h[:2], h[3]) for h in have]
+    assert all((w[2] is None) == (h[2] is None) and (w[2] is None or math.isclose(w[2], h[2], rel_tol=1e-4, abs_tol=1e-3)) for w, h in zip(want, have))
+
+
+def test_each_coordinate_can_reject(spark):
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.multivariate_normal([5, 4, -6, 0.1, 0.05], np.diag([0.3, 0.1, 0.3, 0.01, 0.001]), 2000) * [1, 1, -1, 1, 1]) * [1, 1, -1, 1, 1]
+    for i, far in enumerate((14.0, 14.0, 2.0, 9.0, 0.49)):
+        x[i] = [5, 4, -6, 0.1, 0.05]
+        x[i, i] = far
+    df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "g string, i int, x0 double, x1 double, x2 double, x3 double, x4 double")
+    d2 = np.array([r.d2 for r in outliers.robust_distances(df).orderBy("i").collect()])
+    assert (d2[:5] > outliers.CUTOFF).all() and (d2[5:] > outliers.CUTOFF).mean() < 0.005
 
 
 # ---------------------------------------------------------------- 4
