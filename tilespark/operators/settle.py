@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset a local one on a local master, and an error elsewhere."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tilespark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
 
-    Only on a local master without one (tests, one machine) a local folder is made; elsewhere that is an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def settle(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tilespark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

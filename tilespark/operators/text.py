@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import code_text
 
@@ -56,6 +57,20 @@ def code_lines(codes: DataFrame, key: list[str]) -> DataFrame:
     return codes.select(*key, "symbol", F.hex("symbol").alias("hex"), code_text(F.col("code"), F.col("len")).alias("bits"))
 
 
+def tree_lines(codes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, line, path, depth, symbol, freq, text): the code tree sideways, right subtrees first, one line a node.
+
+    Nodes are the beginnings of the codes; inner ones have no symbol and the sum of what is below them.
+    """
+    bits = codes.select(*key, "symbol", "freq", "len", code_text(F.col("code"), F.col("len")).alias("bits"))
+    every = bits.select(*key, "symbol", "freq", "len", "bits", F.explode(F.sequence(F.lit(0), F.col("len"))).alias("depth"))
+    nodes = every.groupBy(*key, F.expr("left(bits, depth)").alias("path"), "depth").agg(F.max(F.when(F.col("depth") == F.col("len"), F.col("symbol"))).alias("symbol"), F.sum("freq").alias("freq"))
+    place = F.concat(F.translate("path", "01", "02"), F.lit("1"))
+    label = F.concat(F.repeat(F.lit("    "), F.col("depth")), F.coalesce(F.col("symbol").cast("string"), F.lit("*")))
+    # a key has at most 511 nodes
+    return nodes.select(*key, F.row_number().over(W.partitionBy(*key).orderBy(place.desc())).alias("line"), "path", "depth", "symbol", "freq", label.alias("text"))
+
+
 def codes_by_length(codes: DataFrame, key: list[str]) -> DataFrame:
     """(key, len, n, symbols): the leaves of each level."""
     grouped = codes.groupBy(*key, "len").agg(F.array_sort(F.collect_list("symbol")).alias("s"))

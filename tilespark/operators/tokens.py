@@ -66,3 +66,12 @@ def symbol_frequencies(tokens: DataFrame, key: list[str], symbol: str = "symbol"
     """(key, symbol, freq): counts, combined before the shuffle; with a step only of every step-th position."""
     kept = tokens.where(F.col(position) % step == 0) if step > 1 and position else tokens
     return kept.groupBy(*key, F.col(symbol).alias("symbol")).agg(F.count("*").alias("freq"))
+
+
+def zip_equal(rows: DataFrame, arrays: dict[str, str]) -> DataFrame:
+    """rows with pos and one column an array (new name: array column), element by element; an error where sizes differ."""
+    sizes = [F.size(c) for c in arrays.values()]
+    same = F.array_min(F.array(*sizes)) == F.array_max(F.array(*sizes))
+    zipped = F.when(same, F.arrays_zip(*arrays.values())).otherwise(F.raise_error(F.lit("arrays of different sizes")))
+    out = rows.select("*", F.posexplode(zipped).alias("pos", "_x"))
+    return out.withColumns({new: F.col(f"_x.{old}") for new, old in arrays.items()}).drop("_x")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHROMA, COLOUR, LUMA, ZIGZAG
 from ..functions.scalars import bits_needed
 from ..operators import bits, blocks, huffman, pixels, segments, text, tokens
-from ..sources import ppm, synthetic
+from ..operators.settle import shared_folder
+from ..sources import ppm, sinks, synthetic
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -479,7 +482,33 @@ def jpeg_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.header_segments(spark.createDataFrame([(0, 16, 16, 2, 2, 255, True)], synthetic.META))
 
 
-@query("token_stream")
+# the whole path from pixels to coded tokens of one image of 120 x 72, padded to 128 x 80, in units of 2 x 2 blocks
+_STREAM = f"""
+WITH RECURSIVE px AS ({_sql_ycc(72, 120)}),
+pad AS (SELECT a.y AS y, b.x AS x, c1, c2, c3 FROM range(80) a(y), range(128) b(x), px WHERE px.y = least(a.y, 71) AND px.x = least(b.x, 119)),
+cell AS (SELECT 0 AS comp, y, x, c1 AS v FROM pad UNION ALL SELECT comp, y // 2, x // 2, avg(v) FROM (SELECT 1 AS comp, y, x, c2 AS v FROM pad UNION ALL SELECT 2, y, x, c3 FROM pad) GROUP BY ALL),
+{_BASIS},
+hor AS (SELECT comp, y, x // 8 AS bc, k AS j, sum(v * w) AS v FROM cell JOIN basis ON x % 8 = n GROUP BY ALL),
+coef AS (SELECT comp, y // 8 AS br, bc, k AS i, j, sum(v * w) AS g FROM hor JOIN basis ON y % 8 = n GROUP BY ALL),
+z AS (SELECT comp, CASE WHEN comp = 0 THEN (br // 2) * 8 + bc // 2 ELSE br * 8 + bc END AS mcu, CASE WHEN comp = 0 THEN br % 2 * 2 + bc % 2 ELSE 3 + comp END AS comp_seq,
+        CASE WHEN comp = 0 THEN ((br // 2) * 8 + bc // 2) * 4 + br % 2 * 2 + bc % 2 ELSE br * 8 + bc END AS scan, list_position({_LIST(ZIGZAG)}, 8 * i + j) - 1 AS pos,
+        CAST(round(round(g, 6) / CASE WHEN comp = 0 THEN {_LIST(LUMA)}[8 * i + j + 1] ELSE {_LIST(CHROMA)}[8 * i + j + 1] END) AS INT) AS q FROM coef),
+nz AS (SELECT comp, mcu, comp_seq, pos, q, pos - coalesce(lag(pos) OVER (PARTITION BY comp, mcu, comp_seq ORDER BY pos), 0) - 1 AS run FROM z WHERE pos > 0 AND q <> 0),
+ac AS (SELECT comp, mcu, comp_seq, pos, k, CASE WHEN k < run // 16 THEN 15 ELSE run % 16 END AS run, CASE WHEN k < run // 16 THEN 0 ELSE q END AS v FROM (SELECT *, unnest(range(run // 16 + 1)) AS k FROM nz)
+       UNION ALL SELECT comp, mcu, comp_seq, 64, 0, 0, 0 FROM z GROUP BY comp, mcu, comp_seq HAVING coalesce(max(pos) FILTER (WHERE q <> 0 AND pos > 0), 0) < 63),
+every AS (SELECT comp, mcu, comp_seq, 0 AS tok_seq, 'dc' AS kind, 0 AS run, q - lag(q, 1, 0) OVER (PARTITION BY comp ORDER BY scan) AS v FROM z WHERE pos = 0
+          UNION ALL SELECT comp, mcu, comp_seq, row_number() OVER (PARTITION BY comp, mcu, comp_seq ORDER BY pos, k), 'ac', run, v FROM ac),
+tok AS (SELECT mcu, comp_seq, tok_seq, CASE WHEN comp = 0 THEN 'y_' ELSE 'c_' END || kind AS table_id, CAST(run * 16 + {_CAT.format('v')} AS INT) AS symbol, {_CAT.format('v')} AS vlen, {_BITS.format('v')} AS vbits FROM every),
+f AS (SELECT table_id, symbol, count(*) AS freq FROM tok GROUP BY ALL), {_codes_sql('table_id')}
+"""
+
+
+@query(
+    "token_stream",
+    _STREAM
+    + """SELECT CAST(0 AS BIGINT) AS image_id, CAST(mcu AS BIGINT) AS mcu, CAST(comp_seq AS INT) AS comp_seq, CAST(tok_seq AS INT) AS tok_seq, table_id, symbol, code AS hcode, len AS hlen,
+       CAST(vbits AS BIGINT) AS vbits, CAST(vlen AS INT) AS vlen, table_id LIKE '%_ac' AND symbol = 0 AS is_eob FROM tok JOIN c USING (table_id, symbol)""",
+)
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = segments.image_blocks(synthetic.colour_image(spark, 72, 120), 120, 72, 2, 2)
     return segments.token_stream(made, 2, 2)[0].select("image_id", "mcu", "comp_seq", "tok_seq", "table_id", "symbol", "hcode", "hlen", "vbits", "vlen", "is_eob")
@@ -534,6 +563,32 @@ def code_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.code_lines(huffman_codes(spark, sf_dir), [])
 
 
+@query(
+    "code_tree",
+    f"""{_CODES}, b AS (SELECT symbol, freq, len, lpad(bin(code), len, '0') AS bits FROM c),
+n AS (SELECT left(bits, k) AS path, k AS depth, CASE WHEN k = len THEN symbol END AS symbol, freq FROM (SELECT *, unnest(range(len + 1)) AS k FROM b)),
+t AS (SELECT path, depth, max(symbol) AS symbol, sum(freq) AS freq FROM n GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY translate(path, '01', '02') || '1' DESC) AS INT) AS line, path, CAST(depth AS INT) AS depth, symbol, CAST(freq AS BIGINT) AS freq, repeat('    ', CAST(depth AS INT)) || coalesce(CAST(symbol AS VARCHAR), '*') AS text FROM t""",
+)
+def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.tree_lines(huffman_codes(spark, sf_dir), [])
+
+
+@query("zip_equal", "SELECT * FROM (VALUES (1::BIGINT, 0, 7, 'a'), (1::BIGINT, 1, 8, 'b'), (3::BIGINT, 0, 9, 'c')) t(id, pos, code, value)")
+def zip_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, [7, 8], ["a", "b"]), (2, [], []), (3, [9], ["c"])], "id long, codes array<int>, vals array<string>")
+    return tokens.zip_equal(rows, {"code": "codes", "value": "vals"}).drop("codes", "vals")
+
+
+@query("byte_files", "SELECT * FROM (VALUES ('a.bin', '00FF10', 24::BIGINT), ('b.bin', '01', 8::BIGINT)) t(name, hex, n_bits)")
+def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte files written by executors into the shared folder and read back, with the bits that they hold."""
+    path = f"{shared_folder(spark)}/byte-files-{uuid.uuid4().hex}"
+    given = spark.createDataFrame([("a.bin", bytearray(b"\x00\xff\x10")), ("b.bin", bytearray(b"\x01"))], "name string, bytes binary")
+    sinks.write_byte_files(given, path)
+    return ppm.read_bytes(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.hex("bytes").alias("hex"), (F.octet_length("bytes").cast("long") * 8).alias("n_bits"))
+
+
 @query("codes_by_length", "SELECT * FROM (VALUES (2, 2::BIGINT, '0 1'), (3, 3::BIGINT, '2 3 4'), (4, 1::BIGINT, '5')) t(len, n, symbols)")
 def codes_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.codes_by_length(huffman.canonical_codes(_fixed_lengths(spark), []), [])
