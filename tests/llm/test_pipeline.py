@@ -39,6 +39,31 @@ def test_stages_follow_each_other(spark, sf_dir):
         before = after
 
 
+def test_stages_bear_hard_cases(spark, sf_dir):
+    long = " ".join(f"w{i % 700}" for i in range(30_000))
+    base = [(1, None), (2, ""), (3, " \n "), (4, long), (4, long), (None, "one two three four five six"), (None, None), (5, "one two three four five six"), (6, "x\n\u00a0\n y")]
+    rows = [(i, t, None if i == 3 else "en", None if i == 6 else "a", None if t is None else len(t)) for i, t in base] + [(20 + i, f"shared line\nown words {i} of the text", "en", "b", 30) for i in range(12)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # columns named like those that operators add
+    docs = given.withColumns({c: F.lit("clash") for c in ("score", "kept_text", "n_lines", "copies", "n_shingles", "least")}).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert all(r.score == r.copies == "clash" for r in out.collect())
+        had = Counter((r.doc_id, r.text) for r in docs.collect())
+        if name == "quality":
+            kinds = {(t or "") == "" for _, t in got if not (t or "")}
+            assert set(got) <= set(had) and got[(4, long)] in (0, 2) and (got[(1, None)] == got[(2, "")] == got[(None, None)]) and kinds <= {True}
+        if name == "lines":
+            assert got[(1, None)] == 1 and got[(2, "")] == 1 and got[(4, long)] == 2 and all("shared line" not in (t or "") for _, t in got) and sum(got.values()) == len(rows)
+        if name == "near_duplicates":
+            assert got[(4, long)] == 1 and (5, "one two three four five six") in got and (None, "one two three four five six") not in got and all(got[x] == 1 for x in ((1, None), (2, ""), (3, " \n "), (None, None)))
+        if name == "mixing":
+            assert set(got) <= set(had) and got[(4, long)] in (0, 2, 4)
+    assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, docs, sf_dir).collect()} == {i for i, *_ in rows}
+
+
 def test_stages_bear_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert all(stage(spark, docs, sf_dir).count() == 0 for _, stage in corpus_pipeline.STAGES)

@@ -39,25 +39,39 @@ def _rank_at(h: Column, level: Column) -> Column:
     return F.when(level > 0, F.call_function("shiftrightunsigned", h, (64 - LEVEL_BITS * level).cast("int"))).otherwise(F.lit(0).cast("long"))
 
 
+def _running(rows: DataFrame, order: list, sums: dict[str, str], tag: str) -> DataFrame:
+    """rows in order with r, their number from 0, and for each column of `sums` its total over the rows before.
+
+    Sorted by ranges of the order, so each task numbers a part; only one row a part meets in one task.
+    """
+    placed = materialize(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)), tag)
+    inner = W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
+    outer = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.count("*").alias("r"), *[F.sum(c).alias(s) for s, c in sums.items()])
+    before = totals.select("_part", *[F.coalesce(F.sum(s).over(outer), F.lit(0)).alias(f"_{s}") for s in ("r", *sums)])
+    own = placed.withColumns({"r": F.col("_id").bitwiseAND((1 << 33) - 1)} | {s: F.coalesce(F.sum(c).over(inner), F.lit(0)) for s, c in sums.items()})
+    return own.join(F.broadcast(before), "_part").withColumns({s: F.col(s) + F.col(f"_{s}") for s in ("r", *sums)}).drop("_part", "_id", *[f"_{s}" for s in ("r", *sums)])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """(k, source_size, target) of rows (k, size): the weights repeat along the sources by code point, null last.
 
     A target stops at cap times its source's size; what is cut is shared again by weight. That is the least level
-    l with sum(min(cap_i, l * w_i)) = total, found with running sums over cap_i / w_i. One row a source.
+    l with sum(min(cap_i, l * w_i)) = total, found with running sums over cap_i / w_i. One row a source; sources are sorted by ranges, so there may be very many.
     """
-    per = sizes.groupBy("k").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("k") == "", "k")
-    per = per.withColumn("r", F.row_number().over(order) - 1).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("r") % len(weights) + 1).cast("int")))
-    per = per.withColumn("c", F.col("source_size") * float(cap)).withColumn("q", F.col("c") / F.col("w"))
-    before = W.orderBy("q", "r").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy()
-    per = per.withColumns({"bc": F.coalesce(F.sum("c").over(before), F.lit(0.0)), "bw": F.coalesce(F.sum("w").over(before), F.lit(0.0)), "total": F.sum("source_size").over(whole) * float(share), "tw": F.sum("w").over(whole)})
-    per = per.withColumn("level", (F.col("total") - F.col("bc")) / (F.col("tw") - F.col("bw")))
-    fit = F.min(F.when(F.col("level") <= F.col("q"), F.struct("q", "r", "level"))).over(whole)
-    return per.withColumn("fit", fit).select("k", "source_size", F.when(F.col("fit").isNull(), F.col("c")).otherwise(F.least("c", F.col("fit.level") * F.col("w"))).alias("target"))
+    per = _running(sizes.groupBy("k").agg(F.sum("size").alias("source_size")), [F.col("k") == "", "k"], {}, "mix-sources")
+    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("r") % len(weights) + 1).cast("int")))
+    per = per.withColumn("c", F.col("source_size") * float(cap)).withColumn("q", F.col("c") / F.col("w")).withColumnRenamed("r", "name")
+    total, tw = per.agg(F.sum("source_size") * float(share), F.sum("w")).first()
+    per = _running(per, ["q", "name"], {"bc": "c", "bw": "w"}, "mix-levels")
+    # the first source, by what it can take a unit of weight, that the level doesn't fill
+    per = per.withColumn("level", (F.lit(total) - F.col("bc")) / (F.lit(tw) - F.col("bw")))
+    fit = per.where(F.col("level") <= F.col("q")).agg(F.min(F.struct("q", "r", "level"))["level"]).first()[0]
+    return per.select("k", "source_size", F.col("c").alias("target") if fit is None else F.least(F.col("c"), F.lit(fit) * F.col("w")).alias("target"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """rows joined with one row a source; from BROADCAST_SOURCES on by shuffle, and the largest sources by broadcast."""
     return rows.join(F.broadcast(plan) if n <= BROADCAST_SOURCES else plan, "k")
 
 

@@ -19,8 +19,8 @@ from .common import STEP_BYTES, materialize, table
 
 #: Open windows of a partition, partitions whose leftovers one task merges, gaps that are left as padding.
 OPEN, FAN_IN, LEAST_CUT = 8, 16, 8
-#: Chunks of text whose ids a worker remembers at most.
-MEMORY = 600_000
+#: Chunks of text whose ids a worker remembers at most, and characters of the longest of them: a bound in bytes.
+MEMORY, LONGEST = 400_000, 64
 
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, at int, open int"
 
@@ -130,21 +130,24 @@ class Encoder:
         self.words = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.other = regex.compile(r"[^\x21-\x7e\xa1-\u024f]|<\|")
 
-    def learn(self, chunks: list[str]) -> None:
+    def encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of each chunk."""
+        out: dict[str, bytes] = {}
         joined = self.LINE.join(chunks)
         if self.other.search(joined.replace(self.LINE, "")):
             odd = [c for c in chunks if self.other.search(c)]
             for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                self.memory[c] = np.array(e.ids, "<u4").tobytes()
-            chunks = [c for c in chunks if c not in self.memory]
+                out[c] = np.array(e.ids, "<u4").tobytes()
+            chunks = [c for c in chunks if c not in out]
             joined = self.LINE.join(chunks)
         if not chunks:
-            return
+            return out
         ids = np.asarray(self.ranked.encode_to_numpy(self.words.sub(rf"\g<0>{self.END}", joined.lower()))).astype("<u4")
         cuts = np.concatenate([[-1], np.flatnonzero(ids == self.line), [len(ids)]]) * 4
         packed = ids.tobytes()
         for c, a, b in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.memory[c] = packed[a + 4 : b]
+            out[c] = packed[a + 4 : b]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
@@ -152,8 +155,11 @@ class Encoder:
         new = [c for c in every if c not in self.memory]
         if len(self.memory) + len(new) > MEMORY:
             self.memory, new = {}, list(every)
-        self.learn(new)
-        get = self.memory.__getitem__
+        got = self.encoded(new)
+        # long chunks serve this call only
+        self.memory |= {c: ids for c, ids in got.items() if len(c) <= LONGEST}
+        long = {c: ids for c, ids in got.items() if len(c) > LONGEST}
+        get = lambda c: long[c] if len(c) > LONGEST else self.memory[c]
         return [b"".join(map(get, p)) for p in parts]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, free_name, map_arrow, materialize, mix, range_hashes, replace_columns, table, text_steps, words_of
+from .common import add_columns, doc_keys, free_name, join_counted, map_arrow, materialize, mix, range_hashes, release, replace_columns, table, text_steps, words_of
 
 #: Partitions of the alphabet that a round applies at once; a boundary outlasts a round with probability (3/4)^7.
 PARTITIONS = 7
@@ -78,12 +78,6 @@ def range_hashes_within(values: np.ndarray, a: int, b: int, start: np.ndarray, e
     return range_hashes(values[a:b], start, end, which)
 
 
-def _keys(id_col: str, text_col: str) -> tuple:
-    """128 bits of id and text: rows equal in both are one document, seen several times."""
-    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return F.xxhash64(i, t), F.xxhash64(t, i, F.lit(1))
-
-
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
     """(k1, k2, a, b, x): symbols of the first round (x even) and units of the second (x odd) of all texts."""
 
@@ -170,28 +164,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Method: two rounds of recompression give every text symbols of about 7 and of about 56 words. Spark counts the
     names; second-round units that occur again prove their windows repeated, so copies of long passages need one
     representative only. Windows left over are compared by 128-bit fingerprints where all symbols in them occur
-    again. Counts are combined before each shuffle and names that many texts share only meet their count, so a
-    passage in very many documents never comes together in one task.
+    again. Counts are combined before each shuffle, and names and windows that very many texts share stay where they
+    are while their counts are broadcast, so a passage in very many documents never comes together in one task.
 
     Cases: a null or empty text has no words; texts of fewer words than the window stay whole; rows equal in id and
     text count as two documents (each removes the other's windows); an empty table gives an empty result; other
     columns stay, and those named like the added ones are replaced.
     """
     docs = replace_columns(docs, ["kept_words", "n_words", "n_removed"])
-    k1, k2 = _keys(id_col, text_col)
+    k1, k2 = doc_keys(id_col, text_col)
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text_col}`").alias("text"))
     names = materialize(_occurrences(texts, window), "repeats-names")
-    often = names.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.when(F.col("x") % 2 == 1, F.struct("k1", "k2", "x"))).alias("lead")).where("n > 1").select("a", "b", F.col("lead.k1").alias("l1"), F.col("lead.k2").alias("l2"), F.col("lead.x").alias("lx"))
+    often = names.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.when(F.col("x") % 2 == 1, F.struct("k1", "k2", "x"))).alias("lead")).where("n > 1").select("a", "b", "n", F.col("lead.k1").alias("l1"), F.col("lead.k2").alias("l2"), F.col("lead.x").alias("lx"))
     often = materialize(often, "repeats-often")
     # 4 * number, + 1 for a unit, + 2 for a unit's first occurrence
     leads = F.coalesce((F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & (F.col("x") == F.col("lx")), F.lit(False))
     flag = (F.shiftright("x", 1) * 4 + F.col("x") % 2 + F.when(leads, 2).otherwise(0)).alias("flag")
-    flags = names.join(often.hint("merge"), ["a", "b"]).select("k1", "k2", flag).groupBy("k1", "k2").agg(F.collect_set("flag").alias("flags"))
+    flags = join_counted(names, often, ["a", "b"], names.count(), ["l1", "l2", "lx"]).select("k1", "k2", flag).groupBy("k1", "k2").agg(F.collect_set("flag").alias("flags"))
     flags = materialize(flags, "repeats-flags")
+    release(names, often)
     looked = materialize(_candidates(texts.join(flags.hint("merge"), ["k1", "k2"], "left"), window), "repeats-windows")
     windows = looked.where(F.size("p") > 0).select("k1", "k2", F.explode(F.arrays_zip("p", "w1", "w2")).alias("w")).select("k1", "k2", "w.*")
-    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "repeats-twice")
-    found = windows.join(twice.hint("merge"), ["w1", "w2"]).select("k1", "k2", F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
+    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), "repeats-twice")
+    found = join_counted(windows, twice, ["w1", "w2"], twice.agg(F.sum("n")).first()[0] or 0).select("k1", "k2", F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("sure") - 2, F.lit(2)), lambda i: F.struct(F.get(F.col("sure"), i).alias("a"), F.get(F.col("sure"), i + 1).alias("b")))
     proved = looked.where(F.size("sure") > 0).select("k1", "k2", F.explode(pairs).alias("s")).select("k1", "k2", "s.*")
     c1, c2, cover = (free_name(docs, f"repeats_{x}") for x in ("k1", "k2", "cover"))
