@@ -370,6 +370,27 @@ def test_vectors_over_many_blocks(spark, monkeypatch):
     same(rows_of(embedding_dedup.link_vectors(df), "*"), plain_links(rows))
 
 
+def test_vectors_of_large_labels_by_clusters(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal((300, 64))
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    # pairs around the cosine, a cluster of 150, and vectors without mates; one label of many, one of few; huge components
+    spread = [(j, 0.013 if j < 250 else 0.3) for j in range(300) for _ in range(2)] + [(0, 0.012)] * 150
+    rows = [(i, [float(z) * (1e300 if i % 7 == 0 else 1) for z in c[j] + rng.standard_normal(64) * s], int(i % 40 == 39)) for i, (j, s) in enumerate(spread)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("c", F.lit("clash"))
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist(), g) for i, v, g in rows]
+    want = plain_links(scaled)
+    assert sum(r[1] for r in want) > 10_000
+    same(rows_of(embedding_dedup.link_vectors(df), "*"), want)
+
+
+def test_plan_of_cells():
+    for n in (2, 1000, 10**6, 10**9):
+        lines, cells = embedding_dedup.cell_plan(n)
+        assert 4 <= lines <= 12 and cells < 300
+
+
 def test_no_linked_pair_misses_its_count():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((500, 64))
