@@ -4,9 +4,23 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import components
+from tilespark.llm import queries
+from tilespark.llm.common import attach, components, join_counted, materialize
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, sf_dir).toPandas(), c.sql(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda f: sorted(tuple(map(str, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    assert rows(got) == rows(want)
 
 
 def test_stages_follow_each_other(spark, sf_dir):
@@ -74,3 +88,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {i: i // 50 * 50 for i in range(200)} | {1000: 0}
     assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_components_beyond_a_broadcast(spark, monkeypatch):
+    from tilespark.llm import common
+
+    monkeypatch.setattr(common, "SMALL", -1)
+    monkeypatch.setattr(common, "COMMON_KEYS", 3)
+    edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(500, i) for i in range(501, 600)] + [(7, 590), (9000, 8000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    want = {i: i // 20 * 20 for i in range(60)} | {i: 0 for i in range(500, 600)} | {8000: 8000, 9000: 8000}
+    assert got == want
+
+
+def test_joins_by_counted_keys_equal_plain_ones(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 1500).alias("k"))
+    counts = materialize(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most")).where("k % 2 = 0"), "counts")
+    want = Counter(map(tuple, rows.join(counts, "k").select("id", "k", "most").collect()))
+    got = join_counted(rows, counts, ["k"], 5000, ["most"])
+    assert Counter(map(tuple, got.select("id", "k", "most").collect())) == want
+    assert Counter(map(tuple, attach(rows, counts.select("k", "most"), ["k"], 1 << 30).select("id", "k", "most").collect())) == want
+    assert Counter(map(tuple, attach(rows, counts.select("k", "most"), ["k"], 16).select("id", "k", "most").collect())) == want

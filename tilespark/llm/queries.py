@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_dedup": embedding_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {"op4_recompression": recompression.SQL, "op6_embedding_dedup": embedding_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_near_dedup": near_dedup.SQL}

@@ -221,3 +221,14 @@ def sha256_hex(text: str) -> str:
 def op4_recompression(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT rid, unnest(range(1, len(ws) - 33)) AS p, unnest(list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' ')))) AS h FROM w WHERE len(ws) >= 35),
+r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS i FROM p SEMI JOIN r USING (h)),
+k AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+s AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM k ANTI JOIN c USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (rid)
+"""
