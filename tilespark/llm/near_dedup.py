@@ -19,6 +19,8 @@ LOSS = 1e-6
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDS * MOST_MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 1 << 63, COORDS * MOST_MINIMA, np.uint64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
+#: Leaders that a class is compared with at first; all others that may be alike are found by their shingles afterwards.
+LEADERS = 3
 
 
 def plan(percent: int) -> tuple[int, int]:
@@ -153,15 +155,27 @@ def _rare_pairs(apart: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _clusters(posts: DataFrame, led: DataFrame) -> DataFrame:
+    """(c, w): classes that have a list in common, directly or by others, have one w. Each class is joined with its first
+    leader (a, b), and then what lists still part, so that the edges are few."""
+    first = components(led, "near-clusters").select(F.col("node").alias("c"), F.col("component").alias("u"))
+    first = materialize(posts.select("c").distinct().join(first, "c", "left").select("c", F.coalesce("u", "c").alias("u")), "near-first")
+    held = materialize(attach(posts.select("c", "v"), first, ["c"], SHORT).select("v", "u"), "near-held")
+    parted = materialize(held.groupBy("v").agg(F.min("u").alias("b"), F.max("u").alias("most")).where("b < most").select("v", "b"), "near-parted")
+    edges = materialize(attach(held, parted, ["v"], SHORT).where("u <> b").select(F.col("u").alias("a"), "b"), "near-bridges")
+    bridged = materialize(components(edges, "near-bridged").select(F.col("node").alias("u"), F.col("component").alias("w")), "near-bridged")
+    return attach(first, bridged, ["u"], SHORT, "left").select("c", F.coalesce("w", "u").alias("w"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row, and text_hash to tell rows of one id apart.
 
     Rows with equal shingle sets are one class. Classes are posted under every coordinate-value pair of their signature;
     a pair of classes is looked at if it meets in one of its rarest lists and coincides in at least as many lists as
-    `plan` says, which loses a pair at exactly the similarity with probability LOSS. First each class meets the leaders
-    of its lists, their best-known members, which joins the members of a large group without pairing them. Classes of
-    lists that still hold several components then meet by the rarest shingles of their full sets, counted within the
-    cluster of all that leaders connect. All pairs are confirmed on their full sets. Links that are never looked at join
+    `plan` says, which loses a pair at exactly the similarity with probability LOSS. First each class meets the LEADERS
+    that lead most of its lists, the best-known members, which joins the members of a large group without pairing them.
+    Classes of lists that still hold several components then meet by the rarest shingles of their full sets, counted
+    within the cluster of all that lists connect; those are all that may be alike. All pairs are confirmed on their full sets. Links that are never looked at join
     what is joined already. Joins in which one class, list or leader may have very many rows either count their keys first,
     broadcast a counted table, or stand last in their job, where Spark splits large partitions.
 
@@ -175,10 +189,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "near-classes")
     posts = _postings(classes, matches)
     active = materialize(classes.join(posts.select("c").distinct(), "c", "left_semi").select("c", "rep", "n", "sig"), "near-active")
-    lead = materialize(posts.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.count("*").alias("m")).where("m > 1").select("v", "b"), "near-leaders")
-    star = materialize(attach(posts.select("v", F.col("c").alias("a")), lead, ["v"], SHORT).where("a <> b").select("a", "b"), "near-star").distinct()
-    star = materialize(star, "near-star")
-    tested = materialize(_alike(star, active, percent, matches), "near-pairs")
+    lead = materialize(posts.groupBy("v").agg(F.max_by("c", F.struct("known", "c")).alias("b"), F.max("known").alias("known"), F.count("*").alias("m")).where("m > 1").select("v", "b", "known"), "near-leaders")
+    star = materialize(attach(posts.select("v", F.col("c").alias("a")), lead, ["v"], SHORT).where("a <> b").select("a", "b", "known"), "near-star")
+    ranked = star.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("known").alias("known")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "known", "b")), False), 1, LEADERS).alias("x"))
+    led = materialize(ranked.select("a", F.posexplode("x").alias("rank", "x")).select("a", "rank", "x.b"), "near-led")
+    tested = materialize(_alike(led.select("a", "b"), active, percent, matches), "near-pairs")
 
     # the texts of all active classes, fetched once
     needed = active.select("c", F.col("rep.i").alias("ri"), F.col("rep.t").alias("rt"))
@@ -189,8 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialize(_confirmed(tested, texts, size, percent), "near-links")
     comps = components(links, "near")
-    clusters = components(star, "near-clusters")
-    places = clusters.select(F.col("node").alias("c"), F.col("component").alias("w")).join(comps.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").select("c", "w", F.coalesce("g", "c").alias("g"))
+    places = _clusters(posts, led.where("rank = 0")).join(comps.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").select("c", "w", F.coalesce("g", "c").alias("g"))
     places = materialize(places, "near-places")
     labelled = materialize(attach(posts.select("c", "v", "n"), places, ["c"], SHORT), "near-labelled")
     mixed = materialize(labelled.groupBy("v").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("v"), "near-mixed")
@@ -204,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = materialize(_confirmed(more, texts, size, percent), "near-links")
         if not found.isEmpty():
             comps = components(links.union(found), "near")
-    release(texts, posts, star, labelled)
+    release(texts, posts, star, led, labelled)
 
     # only classes that are linked have another component than themselves
     ids = materialize(comps.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "least"), "c"), "near-ids")
