@@ -46,3 +46,14 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_read_bits_without_type_or_id(spark, sf_dir, tmp_path):
+    """Rows without a type are a stream, a row without an id is the last of its stream."""
+    c = duckdb.connect()
+    odd = "CASE WHEN event_id < 900 THEN event_id * 3 - 200 END AS event_id, nullif(event_type, 'view') AS event_type, CASE WHEN event_id % 7 > 0 THEN value END AS value"
+    c.sql(f"CREATE TABLE events AS SELECT {odd} FROM '{sf_dir}/events.parquet' WHERE event_id < 900 OR event_id = 950")
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = c.sql(catalogue.ORACLES["read_bits"]).df()
+    assert want.event_type.isna().any()
+    assert as_text(catalogue.QUERIES["read_bits"](spark, str(tmp_path)).toPandas()) == as_text(want)

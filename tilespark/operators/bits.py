@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +14,7 @@ CHUNK = 4096
 
 
 def running_offsets(rows: DataFrame, part: list[str], order: str, length: str, to: str = "off") -> DataFrame:
-    """rows with the total of `length` before each one, in order of a number that is never negative.
+    """rows with the total of `length` before each one, in order of a number; rows without one come last, and nulls in `part` are a stream too.
 
     Two levels: running sums within chunks of CHUNK order numbers, and one over the chunks' totals, so a long
     stream is spread over tasks; only a row a chunk meets in one.
@@ -19,11 +22,13 @@ def running_offsets(rows: DataFrame, part: list[str], order: str, length: str, t
     keyed = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
     before = lambda *p: W.partitionBy(*p)
     totals = keyed.groupBy(*part, "_chunk").agg(F.sum(length).alias("_total"))
-    outer = before(*part).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*part, "_chunk", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_base"))
+    outer = before(*part).orderBy(F.asc_nulls_last("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    keys = [*part, "_chunk"]
+    totals = totals.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_base"))
     inner = before(*part, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     own = keyed.withColumn("_own", F.coalesce(F.sum(length).over(inner), F.lit(0)))
-    return own.join(totals, [*part, "_chunk"]).withColumn(to, (F.col("_own") + F.col("_base")).cast("long")).drop("_chunk", "_own", "_base")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
+    return own.join(totals, same).withColumn(to, (F.col("_own") + F.col("_base")).cast("long")).drop("_chunk", "_own", "_base", *[f"_key{i}" for i in range(len(keys))])
 
 
 def check_lengths(tokens: DataFrame, length: str = "len") -> DataFrame:
@@ -67,14 +72,49 @@ def bits_text(hex_column):
     return F.array_join(F.transform(F.regexp_extract_all(hex_column, F.lit("(..)"), 1), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
 
 
+def gather_pieces(bytes_: DataFrame, part: list[str], size: int) -> DataFrame:
+    """(part, piece, octets): the bytes of each stream in order as numbers, `size` of them a row, so no row grows with its stream."""
+    found = F.sort_array(F.collect_list(F.struct("byte_ix", "v"))).alias("_b")
+    return bytes_.groupBy(*part, F.expr(f"byte_ix div {size}").alias("piece")).agg(found).select(*part, "piece", F.col("_b.v").alias("octets"))
+
+
+def piece_bytes(width: int) -> int:
+    """Bytes of CHUNK numbers of `width` bits: pieces of so many begin with a number's first bit."""
+    if not 1 <= width <= 64:
+        raise ValueError(f"numbers have 1 to 64 bits, not {width}")
+    return CHUNK * width // 8
+
+
+def read_pieces(pieces: DataFrame, part: list[str], width: int) -> DataFrame:
+    """(part, seq, value): the numbers of `width` bits in pieces of piece_bytes(width) bytes, from a stream's start as long as whole ones are there.
+
+    A piece's numbers are one array, and only that is exploded: rows that carry the bytes along would hold them once a number.
+    """
+
+    def taken(first: str, n: int) -> str:
+        # the n bits (57 at most) from bit `first` on; the bytes that they touch fit into a long
+        span = (n + 14) // 8
+        joined = " | ".join(f"shiftleft(cast(coalesce(get(octets, cast(({first}) div 8 as int) + {j}), 0) as long), {8 * (span - 1 - j)})" for j in range(span))
+        return f"(shiftrightunsigned({joined}, {8 * span - n} - ({first}) % 8) & {(1 << n) - 1}L)"
+
+    piece_bytes(width)
+    one = taken(f"i * {width}", width) if width <= 57 else f"(shiftleft({taken(f'i * {width}', width - 32)}, 32) | {taken(f'i * {width} + {width - 32}', 32)})"
+    n = f"cast(size(octets) * 8 div {width} as int)"
+    rows = pieces.select(*part, "piece", F.posexplode(F.expr(f"case when {n} > 0 then transform(sequence(0, {n} - 1), i -> {one}) end")).alias("_i", "value"))
+    return rows.select(*part, (F.col("piece") * CHUNK + F.col("_i")).cast("int").alias("seq"), "value")
+
+
 def read_bits(streams: DataFrame, part: list[str], width: int, bytes_col: str = "bytes") -> DataFrame:
-    """(part, seq, value): the numbers of `width` bits in a binary column, from its start as long as whole ones are there."""
-    total = F.floor(F.octet_length(bytes_col) * 8 / width).cast("int")
-    rows = streams.withColumn("seq", F.explode(F.when(total > 0, F.sequence(F.lit(0), total - 1))))
-    first, last = F.expr(f"seq * {width} div 8"), F.expr(f"((seq + 1) * {width} - 1) div 8")
-    digits = F.hex(F.substring(bytes_col, (first + 1).cast("int"), (last - first + 1).cast("int")))
-    bits = F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("(..)"), 1), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
-    return rows.select(*part, "seq", F.conv(F.substring(bits, (F.expr(f"seq * {width} % 8") + 1).cast("int"), F.lit(width)), 2, 10).cast("long").alias("value"))
+    """(part, seq, value): the numbers of `width` bits in a binary column, from its start as long as whole ones are there.
+
+    For streams that are rows already; read_pieces() reads those that are too long to be one.
+    """
+    size, b = piece_bytes(width), F.col(bytes_col)
+    n = F.ceil(F.octet_length(b) / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(p.cast("long").alias("piece"), F.substring(b, p * size + 1, F.lit(size)).alias("_b")))
+    pieces = streams.select(*part, F.explode(F.when(n > 0, cut)).alias("_x")).select(*part, "_x.piece", "_x._b")
+    octets = F.expr("transform(sequence(1, octet_length(_b)), i -> cast(conv(hex(substring(_b, i, 1)), 16, 10) as int))")
+    return read_pieces(pieces.select(*part, "piece", octets.alias("octets")), part, width)
 
 
 def has_bits(bytes_column, cursor):
